@@ -13,9 +13,9 @@ from hazardlake.session import materialize
 # ---- without the target ------------------------------------------------------
 
 
-@q("low_variance", TRAIN_LONG + "SELECT feature, round(var_pop(value),6)+0.0 AS variance, var_pop(value) > 0.05 AS kept FROM lng GROUP BY feature")
+@q("low_variance", TRAIN_LONG + "SELECT feature, round(stddev_pop(value),6)+0.0 AS sd, var_pop(value) > 0.05 AS kept FROM lng GROUP BY feature")
 def low_variance(spark, sf):
-    return unsupervised.low_variance(long_train(spark, sf), 0.05).select("feature", r6(F.col("variance"), "variance"), "kept")
+    return unsupervised.low_variance(long_train(spark, sf), 0.05).select("feature", r6(F.sqrt("variance"), "sd"), "kept")
 
 
 def train_vectors(spark, sf, features=S.FULL):

@@ -138,3 +138,35 @@ def concordance_index(
     )
     c, s, n = F.col("concordant"), F.col("tied"), F.col("comparable")
     return total.withColumn("cindex", F.when(n > 0, (c + 0.5 * s) / n))
+
+
+def concordance_td(
+    df: DataFrame, event: str, time: str, curve: str, grid: Sequence[float], keys: Sequence[str] = (), chunk: int = CHUNK
+) -> DataFrame:
+    """Time-dependent concordance: S_i(t_i) < S_j(t_i) over comparable pairs.
+
+    ``curve`` holds each row's survival at the ascending times of ``grid``;
+    beyond a grid point the next one applies (the last one for later times).
+    Events are taken grid step by grid step: inside a step all curves are read
+    at one point, so the step is an ordinary concordance in which rows of later
+    steps take part as partners only.
+    """
+    steps = F.array(*[F.lit(float(g)) for g in grid])
+    last = len(grid) - 1
+    own = F.least(F.size(F.filter(steps, lambda g: g < F.col(time))), F.lit(last))
+    rows = df.withColumn("_own", own)
+    # a row is a partner in every step up to its own
+    seen = rows.withColumn("_step", F.explode(F.sequence(F.lit(0), F.col("_own"))))
+    in_step = F.col("_step") == F.col("_own")
+    beyond = F.lit(float("inf"))
+    cast = seen.select(
+        *keys, "_step",
+        F.when(in_step, F.col(event)).otherwise(0).alias("_ev"),
+        F.when(in_step, F.col(time)).otherwise(beyond).alias("_at"),
+        (-F.get(F.col(curve), F.col("_step"))).alias("_rk"),
+    )
+    c = concordance_index(cast, "_ev", "_at", "_rk", [*keys, "_step"], chunk)
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("concordant", "tied", "comparable")]
+    out = c.groupBy(*keys).agg(*sums)
+    n = F.col("comparable")
+    return out.withColumn("cindex", F.when(n > 0, (F.col("concordant") + 0.5 * F.col("tied")) / n))
