@@ -5,30 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+SCHEMA = "k bigint, v array<double>"
 
-def _stream_sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def to_numpy(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns as arrays; an array column becomes a matrix, null becomes NaN."""
+    out = {}
+    for name, col in zip(batch.schema.names, batch.columns):
+        if pa.types.is_list(col.type):
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(float)
+            out[name] = flat.reshape(batch.num_rows, -1)
+        else:
+            out[name] = col.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _record(keys, vectors: list[np.ndarray]) -> pa.RecordBatch:
+    sizes = np.cumsum([0] + [len(v) for v in vectors]).astype(np.int32)
+    flat = np.concatenate(vectors) if vectors else np.zeros(0)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.asarray(keys, dtype=np.int64)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["k", "v"]
+    )
+
+
+def _stream_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add vectors of equal key as they stream by; holds one vector per key."""
     acc: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for k, v in zip(pdf["k"], pdf["v"]):
+    for b in batches:
+        starts = b.column("v").offsets.to_numpy()
+        flat = b.column("v").values.to_numpy(zero_copy_only=False)
+        for i, k in enumerate(b.column("k").to_pylist()):
+            part = flat[starts[i] : starts[i + 1]]
             if k in acc:
-                acc[k] += v
+                acc[k] += part
             else:
-                acc[k] = np.array(v, dtype=float)
-    if acc:
-        yield pd.DataFrame({"k": list(acc), "v": list(acc.values())})
+                acc[k] = np.array(part, dtype=float)
+    for k, v in acc.items():
+        yield _record([k], [v])
 
 
-def sum_vectors(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+def sum_vectors(df: DataFrame, partial: Callable[[Iterator[dict]], tuple]) -> DataFrame:
     """``(k, v)``: vectors from ``partial`` (run once per task) summed per key.
 
-    Input splits are first merged down to a few per core, without a shuffle,
-    so the number of partial vectors follows the cluster and not the data.
+    ``partial`` takes the task's batches as dicts of arrays and returns keys and
+    vectors.  Input splits are first merged down to a few per core, without a
+    shuffle, so the number of partial vectors follows the cluster, not the data.
     """
-    schema = "k bigint, v array<double>"
     slots = max(1, 4 * df.sparkSession.sparkContext.defaultParallelism)
-    parts = df.coalesce(slots).mapInPandas(partial, schema)
-    return parts.repartition("k").mapInPandas(_stream_sum, schema)
+
+    def run(batches):
+        keys, vectors = partial(to_numpy(b) for b in batches if b.num_rows)
+        for k, v in zip(keys, vectors):
+            yield _record([k], [v])
+
+    return df.coalesce(slots).mapInArrow(run, SCHEMA).repartition("k").mapInArrow(_stream_sum, SCHEMA)

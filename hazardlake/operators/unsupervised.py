@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +42,15 @@ def pearson_pairs(vectors: DataFrame, features: Sequence[str], x: str = "x") ->
 
     def products(batches):
         xx, xm, qm, mm = (np.zeros((p, p)) for _ in range(4))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            a = np.array([np.asarray(v, dtype=float) for v in pdf["x"]]) - center
+        for b in batches:
+            a = b["x"] - center
             m = (~np.isnan(a)).astype(float)
             a = np.nan_to_num(a, nan=0.0)
             xx += a.T @ a
             xm += a.T @ m
             qm += (a * a).T @ m
             mm += m.T @ m
-        yield pd.DataFrame({"k": range(p), "v": [np.concatenate([xx[i], xm[i], qm[i], mm[i]]) for i in range(p)]})
+        return range(p), [np.concatenate([xx[i], xm[i], qm[i], mm[i]]) for i in range(p)]
 
     rows = sum_vectors(vectors.select(F.col(x).alias("x")), products)
     names = F.array(*[F.lit(f) for f in features])
