@@ -158,19 +158,23 @@ def exact_quantiles(
         .agg(F.sum(w).cast("bigint").alias("_c"))
     )
     run = running_totals(counts, keys, "_v", ["_c"])
-    picks = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_c_all") - 1)
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("_c_upto") - F.col("_c") <= at) & (at < F.col("_c_upto"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-    found = run.groupBy(*keys).agg(F.max("_c_all").alias("_n"), *picks)
-    items = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        items.append(lo + (hi - lo) * (pos - F.floor(pos)))
-    return found.select(*keys, F.array(*items).alias(out))
+    # each wanted position 2i (lower) and 2i + 1 (upper) falls into one value's count range
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    pos = lambda i: F.get(wanted, F.shiftright(i, 1)) * (F.col("_c_all") - 1)
+    at = lambda i: F.when(i % 2 == 0, F.floor(pos(i))).otherwise(F.ceil(pos(i)))
+    hit = lambda i: (at(i) >= F.col("_c_upto") - F.col("_c")) & (at(i) < F.col("_c_upto"))
+    hits = run.withColumn("_i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(2 * len(probs) - 1)), hit)))
+    # at most two entries per probability
+    found = hits.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_i", F.col("_v").cast("double").alias("v")))).alias("_f"),
+        F.max("_c_all").alias("_c_all"),
+    )
+
+    def item(i):
+        lo, hi, where = F.get("_f", 2 * i)["v"], F.get("_f", 2 * i + 1)["v"], pos(2 * i)
+        return lo + (hi - lo) * (where - F.floor(where))
+
+    return found.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)), item).alias(out))
 
 
 def average_ranks(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
