@@ -44,7 +44,8 @@ def train_part(spark, sf, seed=7, fraction=0.8):
 
 
 def long_train(spark, sf, features=S.FULL):
-    return schema.melt(train_part(spark, sf).filter("split = 'train'"), features, ["row_id"])
+    train = train_part(spark, sf).filter("split = 'train'").select("row_id", *features)
+    return schema.melt(materialize(train), features, ["row_id"])
 
 
 TRAIN = S.with_(S.SURV, S.subject_split(7, 0.8), "train AS (SELECT surv.* FROM surv JOIN split_of USING (subject_id) WHERE split='train')")
