@@ -172,9 +172,12 @@ def greedy_select(
     run_col: str | None = None,
     beta: float | None = None,
     y: str = "y",
+    allowed: Mapping[int, Sequence[int]] | None = None,
 ) -> list[dict]:
     """Greedy selection for all runs and feature groups at once.
 
+    ``allowed`` narrows the candidate positions of single runs.
+
     ``groups[i]`` is the group (modality) of feature i; every group of every run
     picks up to ``k`` features of its own.  Each step is one job whose result
     has runs x features rows; only those statistics reach the driver.
@@ -195,6 +198,10 @@ def greedy_select(
     first = entropies(_cells(work, keys, groups, None, []), [*keys, "pos"], ["x", "y"])
     for r in first.select(*keys, "pos", (F.col("h_x") + F.col("h_y") - F.col("h_x_y")).alias("mi")).collect():
         t1.setdefault(r[run_col] if run_col else None, np.full(p, -np.inf))[r["pos"]] = max(r["mi"], 0.0)
+    for run, keep in (allowed or {}).items():
+        out_of = np.setdiff1d(np.arange(p), np.asarray(list(keep), dtype=int))
+        if run in t1:
+            t1[run][out_of] = -np.inf
     runs = sorted(t1, key=lambda v: (v is None, v))
     state = {
         run: {"t2": np.zeros(p), "t3": np.zeros(p), "worst": np.full(p, rule.floor), "ratio": np.zeros(p)} for run in runs

@@ -83,8 +83,12 @@ def grid_search(
     pairs = [(c, f) for c in range(len(configs)) for f in range(folds)]
     if model in LINEAR:
         fitted = _fit_linear(model, rows, features, [configs[c] for c, _ in pairs], [f for _, f in pairs], dict(options or {}))
-        risks = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(f).alias("of"), m.eta().alias("risk")) for (c, f), m in zip(pairs, fitted)])
-        scored = rows.select("os", "os_time", "fold", F.explode(risks).alias("s")).filter("s.of = fold")
+        of = dict(zip(pairs, fitted))
+        risks = []
+        for c in range(len(configs)):  # only the model that left the row's fold out is evaluated
+            own = F.coalesce(*[F.when(F.col("fold") == f, of[c, f].eta()) for f in range(folds)])
+            risks.append(F.struct(F.lit(c).alias("config"), own.alias("risk")))
+        scored = rows.select("os", "os_time", "fold", F.explode(F.array(*risks)).alias("s"))
         scored = scored.select("os", "os_time", "fold", "s.config", "s.risk")
     else:
         scored = None

@@ -133,25 +133,34 @@ def prepare(df: DataFrame, o: Options, subset: Sequence[str], seed) -> tuple[Dat
     if o.selection == "none":
         return _forced(ready, ready, o, subset), names
 
+    def screen(rows: DataFrame) -> tuple[list[str], DataFrame | None]:
+        return unsupervised.unsupervised_screen(
+            schema.as_vector(rows, features, ["row_id"]), schema.melt(rows, features, ["row_id"]), features,
+            o.handle_correlated, o.variance_threshold, o.corr_threshold,
+        )
+
     train = ready.filter("split = 'train'")
-    kept, groups = unsupervised.unsupervised_screen(
-        schema.as_vector(train, features, ["row_id"]), schema.melt(train, features, ["row_id"]), features,
-        o.handle_correlated, o.variance_threshold, o.corr_threshold,
-    )
-    if groups is not None:
+    kept, inside = features, None
+    if o.handle_correlated == "group":
+        # group columns must exist in every split, so they are fitted once, on all training rows
+        kept, groups = screen(train)
         members: dict[str, list[str]] = {}
-        for r in groups.collect():  # at most one row per correlated feature pair kept
+        for r in groups.collect() if groups is not None else []:  # at most one row per correlated pair
             members.setdefault(r["group"], []).append(r["member"])
         for g, ms in members.items():
             vals = F.filter(F.array(*[F.col(m) for m in sorted(ms)]), lambda v: v.isNotNull())
             ready = ready.withColumn(g, F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / F.size(vals))
         train = ready.filter("split = 'train'")
+    elif o.n_bootstraps == 0:
+        kept, _ = screen(train)
+    else:
+        inside = lambda rows: screen(rows)[0]
     of = schema.features_by_modality(kept, o.suffixes)
     kept = [f for fs in of.values() for f in fs if f in kept]
     where = {f: i for i, fs in enumerate(of.values()) for f in fs}
     gids = [where[f] for f in kept] if o.fusion != "early" else None
     y = preprocess.discretize_target(train.select("row_id", "os_time"), "os_time", o.target_mode, o.n_bins)
-    picks = stability.supervised_screen(train.select("row_id", *kept), kept, y, o.method, o.k, o.n_bins, o.n_bootstraps, gids, seed)
+    picks = stability.supervised_screen(train.select("row_id", *kept), kept, y, o.method, o.k, o.n_bins, o.n_bootstraps, gids, seed, screen=inside)
     if o.n_bootstraps > 1:
         chosen = df.sparkSession.createDataFrame([(p["run"], p["feature"]) for p in picks], "run int, feature string")
         first = len([p for p in picks if p["run"] == 0])

@@ -95,3 +95,18 @@ def test_spearman_with_ties(spark):
     m = (n + 1) / 2
     exp = sum((a - m) * (b - m) for a, b in zip(rx, ry)) / (sum((a - m) ** 2 for a in rx) * sum((b - m) ** 2 for b in ry)) ** 0.5
     assert abs(got["f"] - exp) < 1e-12 and got["k"] is None
+
+
+def test_screen_narrows_each_bootstrap(spark):
+    base = spark.createDataFrame([(i, float(i % 7), float(i % 5), 1.0, i % 2) for i in range(60)], "row_id bigint, a double, b double, c double, y int")
+    seen = []
+
+    def screen(rows):
+        seen.append(rows.count())
+        return ["a"] if len(seen) == 1 else ["b", "c"]
+
+    for method in ("MIM", "JMI", "CORR", "FCBF"):
+        seen.clear()
+        picks = stability.supervised_screen(base, ["a", "b", "c"], base.select("row_id", "y"), method, 2, 4, 2, seed=4, screen=screen)
+        assert seen == [60, 60]
+        assert {p["feature"] for p in picks if p["run"] == 0} <= {"a"} and {p["feature"] for p in picks if p["run"] == 1} <= {"b", "c"}
