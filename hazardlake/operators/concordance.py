@@ -56,6 +56,27 @@ def count_dominated(order: np.ndarray, risk: np.ndarray, event: np.ndarray, weig
     return below, equal
 
 
+def _across_chunks(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Concordant and tied pairs whose rows lie in different chunks."""
+    per_risk = placed.groupBy(*keys, "_top", "_chunk", "_r").agg(
+        F.sum(F.when(F.col("_e") == 1, F.col("_w")).otherwise(0)).alias("_d"), F.sum("_w").alias("_m")
+    )
+    # a group of one chunk has no levels; otherwise there is one per bit of the largest number
+    levels = F.sequence(F.lit(0), F.floor(F.log2("_top")).cast("int"))
+    leveled = per_risk.withColumn("_lv", F.explode(levels))
+    late = F.expr("shiftright(_chunk, _lv) & 1")
+    nodes = leveled.groupBy(*keys, "_lv", F.expr("shiftright(_chunk, _lv + 1)").alias("_node"), "_r").agg(
+        F.sum(F.when(late == 0, F.col("_d")).otherwise(0)).alias("_early"),
+        F.sum(F.when(late == 1, F.col("_m")).otherwise(0)).alias("_late"),
+    )
+    node_keys = [*keys, "_lv", "_node"]
+    ranked = running_totals(nodes, node_keys, "_r", ["_late"])
+    return ranked.groupBy(*keys).agg(
+        F.sum(F.col("_early") * (F.col("_late_upto") - F.col("_late"))).alias("concordant"),
+        F.sum(F.col("_early") * F.col("_late")).alias("tied"),
+    )
+
+
 def concordance_index(
     df: DataFrame, event: str, time: str, risk: str, keys: Sequence[str] = (), chunk: int = CHUNK
 ) -> DataFrame:
@@ -106,33 +127,17 @@ def concordance_index(
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["concordant bigint", "tied bigint"])
     within = placed.filter(F.col("_chunk") % 2 == 0).groupBy(*keys, "_chunk").applyInPandas(inside, schema)
 
-    # across chunks
-    per_risk = placed.filter("_top > 1").groupBy(*keys, "_top", "_chunk", "_r").agg(
-        F.sum(F.when(F.col("_e") == 1, F.col("_w")).otherwise(0)).alias("_d"), F.sum("_w").alias("_m")
-    )
-    # a group of one chunk has no levels; otherwise there is one per bit of the largest number
-    levels = F.sequence(F.lit(0), F.floor(F.log2("_top")).cast("int"))
-    leveled = per_risk.withColumn("_lv", F.explode(levels))
-    late = F.expr("shiftright(_chunk, _lv) & 1")
-    nodes = leveled.groupBy(*keys, "_lv", F.expr("shiftright(_chunk, _lv + 1)").alias("_node"), "_r").agg(
-        F.sum(F.when(late == 0, F.col("_d")).otherwise(0)).alias("_early"),
-        F.sum(F.when(late == 1, F.col("_m")).otherwise(0)).alias("_late"),
-    )
-    node_keys = [*keys, "_lv", "_node"]
-    ranked = running_totals(nodes, node_keys, "_r", ["_late"])
-    across = ranked.groupBy(*keys).agg(
-        F.sum(F.col("_early") * (F.col("_late_upto") - F.col("_late"))).alias("concordant"),
-        F.sum(F.col("_early") * F.col("_late")).alias("tied"),
-    )
+    # across chunks, for groups that have more than one
+    several = placed.filter("_top > 1")
+    across = None if several.isEmpty() else _across_chunks(several, keys)
+
     zero = F.lit(0).cast("bigint")
+    counts = within.select(*keys, "concordant", "tied", zero.alias("comparable"))
+    if across is not None:
+        counts = counts.unionByName(across.select(*keys, "concordant", "tied", zero.alias("comparable")))
+    pairs = placed.groupBy(*keys).agg(F.sum("_pairs").alias("comparable"))
     total = (
-        within.select(*keys, "concordant", "tied", zero.alias("comparable"))
-        .unionByName(across.select(*keys, "concordant", "tied", zero.alias("comparable")))
-        .unionByName(
-            placed.groupBy(*keys).agg(zero.alias("concordant"), F.sum("_pairs").alias("comparable")).select(
-                *keys, "concordant", zero.alias("tied"), "comparable"
-            )
-        )
+        counts.unionByName(pairs.select(*keys, zero.alias("concordant"), zero.alias("tied"), "comparable"))
         .groupBy(*keys)
         .agg(*[F.coalesce(F.sum(c), zero).cast("bigint").alias(c) for c in ("concordant", "tied", "comparable")])
     )
