@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import chat, exact, mixing, urls
+from hazardlake.llm import chat, contamination, exact, mixing, sqltext, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,16 @@ def op9_url_rules(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_decontamination(spark, sf_dir):
+    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_chat_windows": op6_chat_windows,
     "op7_mix_sources": op7_mix_sources,
     "op9_url_rules": op9_url_rules,
+    "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL = sqltext.SQL
