@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import chat, contamination, exact, mixing, sqltext, urls
+from hazardlake.llm import chat, contamination, exact, language, mixing, sqltext, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_chat_windows": op6_chat_windows,
     "op7_mix_sources": op7_mix_sources,
