@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import chat, contamination, exact, language, mixing, pii, sqltext, urls
+from hazardlake.llm import chat, contamination, exact, language, mixing, neardup, pii, sqltext, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("words_hash")
+
+
 def op6_chat_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_chat_windows": op6_chat_windows,
     "op7_mix_sources": op7_mix_sources,
     "op9_url_rules": op9_url_rules,
