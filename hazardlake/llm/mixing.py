@@ -121,8 +121,9 @@ def quotas(counts: DataFrame, n_shards: int, total: int, seed: str) -> DataFrame
             )
 
         split = node.select("node", F.explode(F.aggregate("items", start, step)["out"]).alias("s"))
-        both = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("s.l").alias("k")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("s.k") - F.col("s.l")).alias("k")))
-        rows = split.select(F.col("s.source").alias("source"), F.explode(both).alias("b")).select("b.node", "source", "b.k")
+        split = split.select("node", "s.source", "s.k", "s.l").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        part = F.when(F.col("side") == 0, F.col("l")).otherwise(F.col("k") - F.col("l"))
+        rows = split.select((F.col("node") * 2 + F.col("side")).alias("node"), "source", part.alias("k"))
         width = half
     upto = F.sum("k").over(Window.partitionBy("source").orderBy("node"))
     listed = rows.withColumn("upto", upto).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("node", "upto"))).alias("b"))
