@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import chat, contamination, exact, language, mixing, neardup, pii, sqltext, urls
+from hazardlake.llm import chat, contamination, exact, language, mixing, neardup, pii, sqltext, suffix, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark, sf_dir):
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_personal_data": op2_personal_data,
     "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
