@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import chat, contamination, exact, language, mixing, neardup, pii, sqltext, suffix, urls
+from hazardlake.llm import chaining, chat, contamination, exact, language, mixing, neardup, pii, sqltext, suffix, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op7_mix_sources(spark, sf_dir):
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op8_fuzzy_passages(spark, sf_dir):
+    return chaining.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_chat_windows": op6_chat_windows,
     "op7_mix_sources": op7_mix_sources,
+    "op8_fuzzy_passages": op8_fuzzy_passages,
     "op9_url_rules": op9_url_rules,
     "op10_decontamination": op10_decontamination,
 }

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -80,23 +81,27 @@ def gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
         level = level[: -(size // 2)] * factor + level[size // 2 :]
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Places that are the smallest gram of a window: document, position, gram hash, hash of the surroundings."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    if len(raw) < length:
-        return none
-    values, width = TABLE[raw], length - gram + 1
-    h = gram_hashes(values, gram)
+def chosen(h: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Places whose hash is the smallest of a window of ``length`` items inside one document."""
+    width = length - gram + 1
     low = sliding(h, width, np.minimum)  # one per window start
     ends = np.zeros(len(low) + 1, np.int64)
     sizes = np.diff(offsets)
-    first = offsets[:-1][sizes >= length]
-    np.add.at(ends, first, 1)
+    np.add.at(ends, offsets[:-1][sizes >= length], 1)
     np.add.at(ends, offsets[1:][sizes >= length] - length + 1, -1)
     low[np.cumsum(ends[:-1]) == 0] = 0  # windows that cross documents
-    # a place is chosen if a window that holds it has it as its smallest gram
     around = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    at = np.nonzero(sliding(around, width, np.maximum)[: len(h)] == h)[0]
+    return np.nonzero(sliding(around, width, np.maximum)[: len(h)] == h)[0]
+
+
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    """Places that are the smallest gram of a window: document, position, gram hash, hash of the surroundings."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    if len(raw) < length:
+        return none
+    values = TABLE[raw]
+    h = gram_hashes(values, gram)
+    at = chosen(h, offsets, length, gram)
     doc = np.searchsorted(offsets, at, "right") - 1
     start, end = offsets[doc], offsets[doc + 1]
     a, b = np.maximum(start, at - (length - gram)), np.minimum(end, at + length)
@@ -345,20 +350,10 @@ def small(df: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc, tx, spans: what goes from each text (null spans: all of it). ``tx`` are 128 bits of the text's digest."""
     spark = docs.sparkSession
-    rows = source_rows(docs, id_col, text_col)
-    known = stage(rows.select("doc", "tx", F.octet_length("text").alias("n")).distinct(), "texts")
-    ranked = known.groupBy("tx").agg(F.min("doc").alias("lead"), F.first("n").alias("n"))
-    placed = known.select("doc", "tx").join(ranked, "tx")
-    copies = placed.filter("doc > lead").select("doc", "tx", "n")
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("tx")) - 1
-    subs = placed.filter("doc = lead").select("doc", "tx", nth.alias("sub"))
-    special = stage(copies.select("doc", "tx", F.lit(-1).alias("sub")).union(subs.filter("sub > 0").select("doc", "tx", "sub")), "special")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    n_ranges = power_of_two(max(parallelism(spark), -(-total // RANGE_BYTES), 2))
+    known = distinct_texts(source_rows(docs, id_col, text_col))
+    n_ranges = power_of_two(max(parallelism(spark), -(-known.total // RANGE_BYTES), 2))
     bits = n_ranges.bit_length() - 1
-
-    texts = rows.join(small(special), ["doc", "tx"], "left").withColumn("sub", F.coalesce("sub", F.lit(0))).filter("sub >= 0")
-    texts = texts.select("doc", "sub", "text")
+    texts = known.texts
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -400,11 +395,32 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = met.filter("spans IS NOT NULL").select("doc", "sub", "spans").union(more.select("doc", "sub", "spans")).union(local)
     listed = spans.groupBy("doc", "sub").agg(F.collect_list("spans").alias("s"))
     listed = listed.select("doc", "sub", F.expr("aggregate(s, X'', (a, x) -> concat(a, x))").alias("spans"))
-    owner = subs.join(listed, ["doc", "sub"]).select("doc", "tx", "spans")
-    whole = copies.filter(F.col("n") >= length).select("doc", "tx", F.lit(None).cast("binary").alias("spans"))
+    owner = known.subs.join(listed, ["doc", "sub"]).select("doc", "tx", "spans")
+    whole = known.copies.filter(F.col("n") >= length).select("doc", "tx", F.lit(None).cast("binary").alias("spans"))
     return owner.union(whole)
 
 
+class Texts(NamedTuple):
+    texts: DataFrame  # doc, sub, text: every distinct text once, under its smallest document
+    subs: DataFrame  # doc, tx, sub: sub counts the texts of one id
+    copies: DataFrame  # doc, tx, n, lead: rows whose text belongs to a smaller document
+    total: int  # bytes
+
+
+def distinct_texts(rows: DataFrame) -> Texts:
+    """Equal texts as one; ``rows`` has doc, text and tx."""
+    known = stage(rows.select("doc", "tx", F.octet_length("text").alias("n")).distinct(), "texts")
+    ranked = known.groupBy("tx").agg(F.min("doc").alias("lead"))
+    placed = stage(known.join(ranked, "tx"), "placed")
+    copies = placed.filter("doc > lead").select("doc", "tx", "n", "lead")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("tx")) - 1
+    subs = stage(placed.filter("doc = lead").select("doc", "tx", nth.alias("sub")), "subs")
+    special = stage(copies.select("doc", "tx", F.lit(-1).alias("sub")).union(subs.filter("sub > 0").select("doc", "tx", "sub")), "special")
+    texts = rows.join(small(special), ["doc", "tx"], "left").withColumn("sub", F.coalesce("sub", F.lit(0))).filter("sub >= 0")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    return Texts(texts.select("doc", "sub", "text"), subs, copies, total)
+
+
 def pair(a: str, b: str):
     """Two numbers as eight bytes, least byte first."""
     turned = lambda c: F.unhex(F.regexp_replace(F.lpad(F.hex(F.col(c)), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))
