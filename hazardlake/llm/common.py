@@ -47,6 +47,28 @@ def join_same(left: DataFrame, right: DataFrame, cols: list[str], how: str = "in
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
+SENT_ROWS = 500_000  # rows of a few dozen bytes: some tens of megabytes
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has few rows, otherwise left to Spark."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
+def drop_rows(docs: DataFrame, found: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` without the rows that ``found`` (id, _kn: key, kept) does not keep.
+
+    Text is not shuffled while few rows go. Of rows that repeat id and key one stays.
+    """
+    named = found.groupBy(F.col(id_col).alias("_kid"), "_kn").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_times"))
+    named = stage(named.filter("NOT _kept OR _times > 1"), "not-kept")
+    keyed = join_same(docs.withColumns({"_kid": F.col(id_col), "_kn": key}), small(named), ["_kid", "_kn"], "left")
+    kept = keyed.filter("_kept IS NULL")
+    repeated = keyed.filter("_kept").dropDuplicates(["_kid", "_kn"])
+    # rows without a key are never dropped: each stands for itself
+    return kept.unionByName(repeated).select(*docs.columns)
+
+
 def arrow_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string or binary column and its offsets; null is empty."""
     import pyarrow as pa

@@ -28,13 +28,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlake.llm.common import join_same, stage
+from hazardlake.llm.common import join_same, small, stage
 
 WINDOW = 13
 # fixed values: the separators around the contract's words, before letters are lowered
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SENT_ROWS = 500_000  # rows of 16 bytes keys or of terms: some tens of megabytes
 
 
 class Index(NamedTuple):
@@ -61,11 +60,6 @@ def word_count(words: Column) -> Column:
     return n - ends
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
-
-
 def build_index(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, n_rare: int = 3) -> Index:
     words = F.filter(F.transform(raw_words(F.col(item_text_col)), lowered), lambda w: w != "")
     named = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), words.alias("words"))
@@ -170,3 +164,11 @@ def contamination(
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         F.col("h").alias("text_hash"),
     )
+
+
+def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = contamination(docs.select(id_col, text_col), bench, id_col, text_col)
+    bad = found.filter("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("_bad_hash"))
+    return docs.join(small(stage(bad, "contaminated")), same, "left_anti")

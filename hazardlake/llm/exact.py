@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlake.llm.common import SPACES, join_same, parallelism, power_of_two, stage
+from hazardlake.llm.common import SPACES, drop_rows, parallelism, power_of_two, stage
 
 KEY = ["text_sha256", "_check", "_length"]
 
@@ -72,9 +72,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    kept = docs.withColumns({"_kid": F.col(id_col), "_ksha": sha})
-    kept = join_same(kept, found, ["_kid", "_ksha"])
-    again = F.row_number().over(Window.partitionBy("_kid", "_ksha").orderBy(F.lit(0)))
-    return kept.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    found = stage(exact_dedup(docs, id_col, text_col), "kept").withColumnRenamed("text_sha256", "_kn")
+    return drop_rows(docs, found, id_col, F.sha2(normalised(F.col(text_col)), 256))

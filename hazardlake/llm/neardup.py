@@ -35,13 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardlake.llm.common import arrow_bytes, join_same, mix64, parallelism, pieces, power_of_two, stage
+from hazardlake.llm.common import arrow_bytes, drop_rows, mix64, parallelism, pieces, power_of_two, small, stage
 from hazardlake.llm.shingles import shingle_hashes, words_text
 
 COORDINATES, ROWS = 64, 4
 THRESHOLD = 0.8
 PIECE = 4 << 20
-SENT_ROWS = 500_000
 #: Rounds with other hubs before the remaining pairs are all verified.
 HUB_ROUNDS = 2
 
@@ -144,9 +143,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, weighted: bool) -> DataF
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """node, items: sorted shingle hashes of the wanted nodes. ``wanted`` has one (node, id) per node."""
-    named = wanted.select("node", F.col("id").alias("_wid"))
-    if named.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
-        named = F.broadcast(named)
+    named = small(wanted.select("node", F.col("id").alias("_wid")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(named, F.col("id").eqNullSafe(F.col("_wid")))
     # an id may stand on several texts
     rows = rows.select("node", words_text(F.col("text")).alias("text")).filter(F.unhex(F.substring(F.sha2("text", 256), 1, 32)) == F.col("node"))
@@ -268,6 +265,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kid"), F.unhex("words_hash").alias("_kn")).distinct()
-    out = join_same(docs.withColumns({"_kid": F.col(id_col), "_kn": node_of(F.col(text_col))}), kept, ["_kid", "_kn"])
-    return out.select(*docs.columns)
+    found = stage(near_duplicates(docs, id_col, text_col), "classes").withColumn("_kn", F.unhex("words_hash"))
+    return drop_rows(docs, found, id_col, node_of(F.col(text_col)))

@@ -40,14 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlake.llm.common import arrow_bytes, mix64, parallelism, pieces, power_of_two, stage
+from hazardlake.llm.common import arrow_bytes, mix64, parallelism, pieces, power_of_two, small, stage
 from hazardlake.llm.shingles import powers
 
 LENGTH, GRAM = 50, 24
 PIECE = 2 << 20
 RANGE_BYTES = 16 << 20  # text bytes whose anchors form one range
 SPLIT = 256  # surroundings of one anchor beyond which its windows are dealt one by one
-SENT_ROWS = 500_000
 NO_ID = (1 << 63) - 1
 TABLE = mix64(np.arange(1, 257).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 REQUEST = np.dtype([("h", "<u8"), ("pos", "<i4"), ("split", "<i4")])
@@ -342,11 +341,6 @@ def match_segments(table: pa.Table, length: int, most: int = 60_000) -> pa.Table
     return found_table(np.concatenate(docs), np.concatenate(subs), np.concatenate(spans), none, none, np.zeros(0, REQUEST))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
-
-
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc, tx, spans: what goes from each text (null spans: all of it). ``tx`` are 128 bits of the text's digest."""
     spark = docs.sparkSession
