@@ -61,7 +61,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     total, factor = np.zeros(len(h), np.uint64), 1
     for j in range(size):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - j if j else len(h)] = h[j:]
+        part[: max(0, len(h) - j)] = h[j:]
         total += np.where(left > j, part, np.uint64(0)) * np.uint64(factor)
         factor = factor * STEP % (1 << 64)
     valid = (left >= size) | ((pos == 0) & (n_words[doc] < size))
