@@ -99,12 +99,12 @@ def box_stats(spark, sf):
 
 
 # survival curves that differ between rows: S(t|x) = exp(-(t/1000)^k * e^eta), k by study
-@q("concordance_td", S.with_(S.SURV, """cv AS (SELECT row_id, type, os, os_time, CASE study WHEN 'ASIA' THEN 1.5 ELSE 1.0 END AS k, totalprice_exp/1e6 AS eta FROM surv WHERE type='MACHINERY')""",
+@q("concordance_td", S.with_(S.SURV, """cv AS (SELECT row_id, type, os, os_time, CASE study WHEN 'ASIA' THEN 1.5 ELSE 1.0 END AS k, totalprice_exp/1e6 AS eta FROM surv)""",
    """pr AS (SELECT exp(-pow(ceil(a.os_time/250)*0.25, a.k)*exp(a.eta)) AS si, exp(-pow(ceil(a.os_time/250)*0.25, b.k)*exp(b.eta)) AS sj
      FROM cv a JOIN cv b ON a.os=1 AND (a.os_time < b.os_time OR (a.os_time = b.os_time AND b.os=0)))""") +
    """SELECT count(*) FILTER (si < sj) AS concordant, count(*) FILTER (si = sj) AS tied, count(*) AS comparable FROM pr""")
 def concordance_td(spark, sf):
-    s = X.surv(spark, sf).filter("type = 'MACHINERY'")
+    s = X.surv(spark, sf)
     curves = s.select("row_id", "os", "os_time", F.when(F.col("study") == "ASIA", 1.5).otherwise(1.0).alias("k"), (F.col("totalprice_exp") / 1e6).alias("eta"))
     grid = [250.0 * i for i in range(1, 10)]
     surv_at = F.array(*[F.exp(-F.pow(F.lit(g / 1000.0), F.col("k")) * F.exp("eta")) for g in grid])
@@ -112,7 +112,7 @@ def concordance_td(spark, sf):
     return c.select("concordant", "tied", "comparable")
 
 
-@q("permutation_importance", S.with_(S.SURV, "b0 AS (SELECT row_id, os, os_time, totalprice_exp AS a, acctbal_clin AS b, -totalprice_exp/1e6 + acctbal_clin/2e4 AS risk FROM surv WHERE type='BUILDING')",
+@q("permutation_importance", S.with_(S.SURV, "b0 AS (SELECT row_id, os, os_time, totalprice_exp AS a, acctbal_clin AS b, -totalprice_exp/1e6 + acctbal_clin/2e4 AS risk FROM surv)",
    cidx_cte("base", "b0", []), "lg AS (SELECT row_id, os, os_time, risk, unnest(['totalprice_exp','acctbal_clin']) AS feature, unnest([a, b]) AS own, unnest([-1/1e6, 1/2e4]) AS coef FROM b0)",
    "it AS (SELECT lg.*, iter FROM lg, (SELECT unnest(range(0,3)) AS iter))",
    "t1 AS (SELECT *, row_number() OVER (PARTITION BY feature, iter ORDER BY md5('3:to:'||feature||':'||iter||':'||row_id), row_id) AS k FROM it)",
@@ -120,7 +120,7 @@ def concordance_td(spark, sf):
    "mv AS (SELECT t1.feature, t1.iter, os, os_time, risk + coef*(permuted-own) AS risk FROM t1 JOIN f1 ON t1.feature=f1.feature AND t1.iter=f1.iter AND t1.k=f1.k)",
    cidx_cte("c", "mv", ["feature", "iter"])) + "SELECT c.feature, round(avg(base.cindex-c.cindex),4)+0.0 AS importance, round(stddev_pop(base.cindex-c.cindex),4)+0.0 AS importance_sd FROM c, base GROUP BY c.feature")
 def permutation_importance(spark, sf):
-    s = X.surv(spark, sf).filter("type = 'BUILDING'").withColumn("risk", -F.col("totalprice_exp") / 1e6 + F.col("acctbal_clin") / 2e4)
+    s = X.surv(spark, sf).withColumn("risk", -F.col("totalprice_exp") / 1e6 + F.col("acctbal_clin") / 2e4)
     coef = {"totalprice_exp": -1 / 1e6, "acctbal_clin": 1 / 2e4}
     imp = importance.permutation_importance(s, list(coef), coef, n_iter=3, seed=3)
     return imp.select("feature", (F.round("importance", 4) + F.lit(0.0)).alias("importance"), (F.round("importance_sd", 4) + F.lit(0.0)).alias("importance_sd"))

@@ -39,7 +39,7 @@ PREDICTIONS = f"""pred0 AS (SELECT run, row_id, model, modality, type, os, os_ti
     {h("CAST(run AS VARCHAR)||':'||CAST(row_id AS VARCHAR)", 8)} % 100 AS s,
     ({h("CAST(run AS VARCHAR)||':'||CAST(row_id AS VARCHAR)||':'||model||':'||modality", 8)} % 1000)/CAST(1000.0 AS DOUBLE) AS u
   FROM surv, (SELECT unnest([1,2,3]) AS run), (SELECT unnest(['GOOD','WEAK','ANTI','CONST']) AS model),
-    (SELECT unnest(['EXPRESSION','MUTATION']) AS modality) WHERE type='BUILDING'),
+    (SELECT unnest(['EXPRESSION','MUTATION']) AS modality)),
 predictions AS (SELECT CAST(run AS INTEGER) AS run, CASE WHEN s<60 THEN 'train' WHEN s<80 THEN 'val' ELSE 'test' END AS split,
     row_id, model, modality, type, os, os_time,
     CASE model WHEN 'GOOD' THEN CAST(-0.5 AS DOUBLE)*ln(os_time)+u WHEN 'WEAK' THEN CAST(-0.05 AS DOUBLE)*ln(os_time)+u

@@ -108,7 +108,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long risk table for three runs, four synthetic models and two modalities."""
     base = (
         surv(spark, sf_dir)
-        .filter(F.col("type") == "BUILDING")
         .select("row_id", "type", "os", "os_time")
         .withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(3))))
         .withColumn("model", F.explode(F.array(*[F.lit(m) for m in ("GOOD", "WEAK", "ANTI", "CONST")])))

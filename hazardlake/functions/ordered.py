@@ -32,9 +32,21 @@ def seeded_text(seed: str | int | Column, id_col: str | Column) -> Column:
     return F.concat(seed.cast("string"), F.lit(":"), as_col(id_col).cast("string"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; ``right`` adds its other columns."""
+    cols = list(cols)
+    named = right.select(*[F.col(c).alias(f"_k{cols.index(c)}") if c in cols else F.col(c) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cols)]
+    return left.join(named, on, how).drop(*[f"_k{i}" for i in range(len(cols))])
+
+
 def count_at_most(bounds: Column, value: Column) -> Column:
-    """How many entries of a sorted array are <= value, by binary search."""
-    steps = F.array(*[F.lit(1 << k) for k in range(9, -1, -1)])
+    """How many entries of a sorted array are <= value, by binary search.
+
+    The halving steps follow the size of the array, so any length works.
+    """
+    top = F.greatest(F.floor(F.log2(F.greatest(F.size(bounds), F.lit(1)))), F.lit(0)).cast("int")
+    steps = F.transform(F.sequence(top, F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
     return F.aggregate(
         steps,
         F.lit(0),
@@ -54,16 +66,17 @@ def hash_rank(
     """1-based position of every row in md5(seed:id) order inside ``keys``.
 
     The first hex digits split each group into up to 16**digits even ranges.
-    ``id_col`` must be unique inside ``keys``.
+    ``id_col`` must be unique inside ``keys``. Null keys form a group of their
+    own and a null id gets a rank like any other: every row comes back once.
     """
     keys = list(keys)
-    hashed = df.withColumn("_h", F.md5(seeded_text(seed, id_col))).withColumn(
+    hashed = df.withColumn("_h", F.md5(F.coalesce(seeded_text(seed, id_col), F.lit("null")))).withColumn(
         "_range", F.substring("_h", 1, digits)
     )
     offsets = _offsets(
         hashed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")), keys, "_range", ["_n"], total_col is not None
     )
-    placed = hashed.join(offsets, keys + ["_range"])
+    placed = join_null_safe(hashed, offsets, [*keys, "_range"])
     w = Window.partitionBy(*keys, "_range").orderBy("_h", id_col)
     out = placed.withColumn(rank_col, F.col("_before_n") + F.row_number().over(w))
     if total_col:
@@ -122,7 +135,7 @@ def running_totals(
         ).alias("_bounds"),
     )
     if keys:
-        ranged = df.join(bounds, keys)
+        ranged = join_null_safe(df, bounds, keys)
     else:
         ranged = df.withColumn("_bounds", bounds.scalar())
     ranged = ranged.withColumn(
@@ -130,7 +143,7 @@ def running_totals(
     ).drop("_bounds")
     offsets = _offsets(ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c) for c in sums]), keys, "_range", sums)
     w = Window.partitionBy(*keys, "_range").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(offsets, keys + ["_range"])
+    out = join_null_safe(ranged, offsets, [*keys, "_range"])
     return out.select(
         *df.columns,
         *[(F.sum(c).over(w) + F.col(f"_before{c}")).alias(f"{c}_upto") for c in sums],

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.functions.ordered import exact_quantiles, hash_int, hash_rank, running_totals, seeded_text
+from hazardlake.functions.ordered import exact_quantiles, hash_int, hash_rank, join_null_safe, running_totals, seeded_text
 
 
 def filter_types(
@@ -60,20 +60,29 @@ def split_rows(
 def split_subjects(
     df: DataFrame, subject_col: str, fraction: float, seed, keys: Sequence[str] = (), out: str = "split"
 ) -> DataFrame:
-    """Split of distinct subjects; the first int(fraction * m) are train."""
+    """Split of distinct subjects; the first int(fraction * m) are train.
+
+    Rows without a subject are one more subject: they stay together.
+    """
     subjects = df.select(*keys, subject_col).distinct()
     ranked = hash_rank(subjects, subject_col, seed, keys, "_rank", "_total")
     marked = _mark(ranked, F.floor(F.lit(fraction) * F.col("_total")), out)
-    return df.join(marked, list(keys) + [subject_col])
+    return join_null_safe(df, marked, [*keys, subject_col])
 
 
 def split_stratified(
     df: DataFrame, id_col: str, strata: Sequence[str], fraction: float, seed, keys: Sequence[str] = (),
     out: str = "split",
 ) -> DataFrame:
-    """round(fraction * n_s) rows of every stratum are train, the rest test."""
+    """round(fraction * n_s) rows of every stratum are train, the rest test.
+
+    A row with a null stratum belongs to none and goes to test.
+    """
     ranked = hash_rank(df, id_col, seed, [*keys, *strata], "_rank", "_total")
-    return _mark(ranked, F.round(F.lit(fraction) * F.col("_total")), out)
+    known = F.lit(True)
+    for c in strata:
+        known = known & F.col(c).isNotNull()
+    return _mark(ranked, F.when(known, F.round(F.lit(fraction) * F.col("_total"))).otherwise(0), out)
 
 
 def split_validation(
@@ -94,13 +103,19 @@ def split_predefined(
     df: DataFrame, cohort: DataFrame | None, attrs: Sequence[str], label_col: str = "cohort",
     names: dict[str, str] | None = None, out: str = "split",
 ) -> DataFrame:
-    """Splits named by a cohort table; rows outside every cohort are left out."""
+    """Splits named by a cohort table; rows outside every cohort are left out.
+
+    Repeated cohort rows count once. A key under two labels is an error.
+    """
     if cohort is None:
         raise ValueError("predefined splits need a cohort table")
     names = names or {"training": "train", "validation": "val", "test": "test"}
     label = F.col(label_col)
     mapped = F.coalesce(*[F.when(label == k, v) for k, v in names.items()])
-    table = cohort.select(*attrs, mapped.alias(out)).filter(F.col(out).isNotNull())
+    table = cohort.select(*attrs, mapped.alias(out)).filter(F.col(out).isNotNull()).groupBy(*attrs)
+    table = table.agg(F.min(out).alias(out), F.max(out).alias("_other"))
+    clash = F.raise_error(F.concat(F.lit("cohort key with two labels: "), F.to_json(F.struct(*attrs))))
+    table = table.withColumn(out, F.when(F.col("_other") == F.col(out), F.col(out)).otherwise(clash)).drop("_other")
     return df.join(table, list(attrs))
 
 
@@ -134,7 +149,7 @@ def shuffle_targets(
     there = hash_rank(
         df.select(*keys, id_col, *targets), id_col, F.concat(F.lit(f"{seed}"), F.lit(":from")), keys, "_rank"
     ).drop(id_col)
-    return here.join(there, keys + ["_rank"]).drop("_rank")
+    return join_null_safe(here, there, [*keys, "_rank"]).drop("_rank")
 
 
 def binarize_time(df: DataFrame, event: str, time: str, threshold: float = 365.0, out: str = "label") -> DataFrame:
@@ -151,5 +166,5 @@ def high_low_groups(
         return df.withColumn(out, F.when(F.col(risk) <= threshold, "low").otherwise("high"))
     med = exact_quantiles(df, keys, risk, [0.5], out="_cut")
     cut = F.col("_cut")[0]
-    joined = df.join(med, list(keys)) if keys else df.withColumn("_cut", med.scalar())
+    joined = join_null_safe(df, med, keys) if keys else df.withColumn("_cut", med.scalar())
     return joined.withColumn(out, F.when(F.col(risk) <= cut, "low").otherwise("high")).drop("_cut")

@@ -13,6 +13,7 @@ task sees a whole group.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.functions.ordered import running_totals
+from hazardlake.functions.ordered import join_null_safe, running_totals
 from hazardlake.session import materialize
 
 CHUNK = 1 << 17
@@ -80,13 +81,16 @@ def _across_chunks(placed: DataFrame, keys: list[str]) -> DataFrame:
 def concordance_index(
     df: DataFrame, event: str, time: str, risk: str, keys: Sequence[str] = (), chunk: int = CHUNK
 ) -> DataFrame:
-    """``(keys, concordant, tied, comparable, cindex)``; NULL index without comparable pairs.
+    """``(keys, concordant, tied, comparable, left_out, cindex)``; NULL index without comparable pairs.
 
-    Higher risk should mean an earlier event; equal risks count one half.
+    Higher risk should mean an earlier event; equal risks count one half. Rows
+    without event, time or risk cannot be compared: ``left_out`` counts them.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(event).cast("int").alias("_e"), F.col(time).cast("double").alias("_t"), F.col(risk).cast("double").alias("_r"))
-    rows = rows.filter(F.col("_e").isNotNull() & F.col("_t").isNotNull() & F.col("_r").isNotNull())
+    whole = F.col("_e").isNotNull() & F.col("_t").isNotNull() & F.col("_r").isNotNull()
+    gaps = rows.groupBy(*keys).agg(F.sum(F.when(whole, 0).otherwise(1)).cast("bigint").alias("left_out"))
+    rows = rows.filter(whole)
     cells = rows.groupBy(*keys, "_t", "_e", "_r").agg(F.count(F.lit(1)).alias("_w"))
 
     cells = materialize(cells)  # small against the input, read four times below
@@ -108,7 +112,7 @@ def concordance_index(
     )
     is_event = F.col("_e") == 1
     placed = materialize(
-        cells.join(spots, [*keys, "_t"]).select(
+        join_null_safe(cells, spots, [*keys, "_t"]).select(
             *keys, "_t", "_e", "_r", "_w", "_top",
             F.when(is_event, F.col("_p1")).otherwise(F.col("_p0")).alias("_chunk"),
             F.when(is_event, F.col("_w") * F.col("_partners")).otherwise(0).alias("_pairs"),
@@ -136,11 +140,11 @@ def concordance_index(
     if across is not None:
         counts = counts.unionByName(across.select(*keys, "concordant", "tied", zero.alias("comparable")))
     pairs = placed.groupBy(*keys).agg(F.sum("_pairs").alias("comparable"))
-    total = (
-        counts.unionByName(pairs.select(*keys, zero.alias("concordant"), zero.alias("tied"), "comparable"))
-        .groupBy(*keys)
-        .agg(*[F.coalesce(F.sum(c), zero).cast("bigint").alias(c) for c in ("concordant", "tied", "comparable")])
-    )
+    parts = [counts, pairs.select(*keys, zero.alias("concordant"), zero.alias("tied"), "comparable")]
+    total = functools.reduce(DataFrame.unionByName, [p.withColumn("left_out", zero) for p in parts])
+    total = total.unionByName(gaps.select(*keys, *[zero.alias(c) for c in ("concordant", "tied", "comparable")], "left_out"))
+    names = ("concordant", "tied", "comparable", "left_out")
+    total = total.groupBy(*keys).agg(*[F.coalesce(F.sum(c), zero).cast("bigint").alias(c) for c in names])
     c, s, n = F.col("concordant"), F.col("tied"), F.col("comparable")
     return total.withColumn("cindex", F.when(n > 0, (c + 0.5 * s) / n))
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardlake.functions.ordered import join_null_safe
 from hazardlake.operators.concordance import concordance_index
 from hazardlake.session import materialize
 
@@ -27,7 +28,7 @@ def normalize_predictions(pred: DataFrame, keys: Sequence[str] = CELL, risk: str
     ends = pred.groupBy(*keys).agg(F.min(risk).alias("_lo"), F.max(risk).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span == 0, 0.5).otherwise((F.col(risk) - F.col("_lo")) / span)
-    return pred.join(ends, list(keys)).withColumn(out, scaled).drop("_lo", "_hi")
+    return join_null_safe(pred, ends, keys).withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def ensemble_weights(cidx: DataFrame, within: Sequence[str], threshold: float = 0.5, out: str = "w") -> DataFrame:
@@ -55,7 +56,7 @@ def weighted_risk(pred: DataFrame, weights: DataFrame, on: Sequence[str], over:
     Rounded to 12 decimals: equal rows stay tied whatever the order of adding.
     """
     flip = F.col("flip") if "flip" in weights.columns else F.lit(False)
-    j = pred.join(weights.select(*on, "w", *(["flip"] if "flip" in weights.columns else [])), list(on))
+    j = join_null_safe(pred, weights.select(*on, "w", *(["flip"] if "flip" in weights.columns else [])), on)
     val = F.col("w") * F.when(flip, 1.0 - F.col(p)).otherwise(F.col(p))
     return j.groupBy(*over, "row_id").agg(F.max("os").alias("os"), F.max("os_time").alias("os_time"), F.round(F.sum(val), 12).alias("risk"))
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlake.functions.ordered import exact_quantiles, running_totals
+from hazardlake.functions.ordered import exact_quantiles, join_null_safe, running_totals
 from hazardlake.session import materialize
 
 
@@ -97,9 +97,10 @@ def lookup_steps(points: DataFrame, steps: DataFrame, at: str, keys: Sequence[st
     ev = materialize(ev)
     run = running_totals(m, keys, "_t", ["_k"])  # number of steps so far identifies the last one
     num = running_totals(ev.select(*keys, "_t", F.lit(1).cast("bigint").alias("_k")), keys, "_t", ["_k"]).select(*keys, "_t", F.col("_k_upto").alias("_no"))
-    numbered = ev.join(num, [*keys, "_t"]).select(*keys, "_no", "_s")
-    found = run.select(*keys, F.col("_t").alias(at), F.col("_k_upto").alias("_no")).join(numbered, [*keys, "_no"], "left")
-    return points.join(found.select(*keys, at, *[F.col(f"_s.{v}").alias(v) for v in values]), [*keys, at], "left")
+    numbered = join_null_safe(ev, num, [*keys, "_t"]).select(*keys, "_no", "_s")
+    reached = run.select(*keys, F.col("_t").alias(at), F.col("_k_upto").alias("_no"))
+    found = join_null_safe(reached, numbered, [*keys, "_no"], "left")
+    return join_null_safe(points, found.select(*keys, at, *[F.col(f"_s.{v}").alias(v) for v in values]), [*keys, at], "left")
 
 
 def predict_survival(
@@ -113,7 +114,7 @@ def predict_survival(
     h0 = [F.coalesce(F.max(F.when(F.col("time") <= a, F.col("hazard"))), F.lit(0.0)) for a in at]
     pts = F.array(*[F.struct(F.lit(float(a)).alias("time"), h.alias("h0")) for a, h in zip(at, h0)])
     table = hazard.groupBy(*keys).agg(pts.alias("_p"))
-    joined = rows.join(table, list(keys)) if keys else rows.withColumn("_p", table.scalar())
+    joined = join_null_safe(rows, table, keys) if keys else rows.withColumn("_p", table.scalar())
     out = joined.withColumn("_q", F.explode("_p"))
     return out.select(*rows.columns, F.col("_q.time").alias("time"), F.exp(-F.col("_q.h0") * F.exp(eta)).alias("survival"))
 
