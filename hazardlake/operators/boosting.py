@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardlake.functions.gram import sum_vectors
-from hazardlake.operators.cox import MAX_TIME_CELLS, CoxModel, CoxProblem
+from hazardlake.operators.cox import MAX_TIME_CELLS, CoxModel, CoxProblem, check_complete
 from hazardlake.operators.survival import baseline_hazard
 from hazardlake.session import materialize
 
@@ -35,6 +35,7 @@ def fit_componentwise(
     with fewer rounds stop early.
     """
     m, p = len(configs), len(features)
+    check_complete(rows)
     ones = rows.withColumn("x", F.concat(F.array(F.lit(1.0)), F.col("x")))
     prob = CoxProblem(ones, p + 1, held_out or [-1] * m, max_time_cells=max_time_cells)
     held = prob.held_out
@@ -88,14 +89,16 @@ def fit_tree_boost(
     The score of every training row is checkpointed each round, which keeps the
     plan short and lets a lost executor restart from the last round.
     """
+    if not 1 <= max_depth <= 30:
+        raise ValueError("trees of this learner have a depth between 1 and 30")
+    check_complete(rows)
     cur = materialize(rows.select("os", "os_time", array_to_vector("x").alias("_v"), F.lit(0.0).alias("_f")))
-    depth = int(min(max(1, max_depth), 30))
     trees = []
     for k in range(n_estimators):
         h0 = baseline_hazard(cur, "os", "os_time", F.col("_f")).withColumnRenamed("time", "os_time")
         res = materialize(cur.join(h0, "os_time").withColumn("_r", F.col("os") - F.exp("_f") * F.col("hazard")).drop("hazard"))
         learner = DecisionTreeRegressor(
-            featuresCol="_v", labelCol="_r", predictionCol="_p", maxDepth=depth, seed=seed + k, maxMemoryInMB=512
+            featuresCol="_v", labelCol="_r", predictionCol="_p", maxDepth=int(max_depth), seed=seed + k, maxMemoryInMB=512
         )
         tree = learner.fit(res)
         trees.append(tree)

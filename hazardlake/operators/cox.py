@@ -210,6 +210,14 @@ def feature_means(rows: DataFrame, p: int) -> np.ndarray:
     return out
 
 
+def check_complete(rows: DataFrame) -> None:
+    """Models need every value: a missing one must be imputed or its row dropped before."""
+    gap = F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    n = rows.filter(gap | F.col("os").isNull() | F.col("os_time").isNull()).count()
+    if n:
+        raise ValueError(f"{n} rows have missing features, event or time")
+
+
 def _centered(rows: DataFrame, center: np.ndarray) -> DataFrame:
     c = F.array(*[F.lit(float(v)) for v in center])
     return rows.withColumn("x", F.zip_with(F.col("x"), c, lambda a, b: a - b))
@@ -230,6 +238,7 @@ def fit_ridge(
     lowers the objective is halved.  X must have no missing values.
     """
     p, m = len(features), len(alphas)
+    check_complete(rows)
     center = feature_means(rows, p)
     prob = CoxProblem(_centered(rows, center), p, held_out or [-1] * m, max_time_cells=max_time_cells)
     a = np.asarray(alphas, dtype=float)
@@ -300,6 +309,7 @@ def fit_elastic_net(
     path step is ``inner`` pairs of passes at most.
     """
     p, m = len(features), len(configs)
+    check_complete(rows)
     center = feature_means(rows, p)
     prob = CoxProblem(_centered(rows, center), p, held_out or [-1] * m, max_time_cells=max_time_cells)
     seen = prob.rows.groupBy("fold").count().collect() if (prob.held_out >= 0).any() else []

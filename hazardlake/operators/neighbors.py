@@ -234,8 +234,12 @@ def ksg_cmi(points: DataFrame, k: int = 3, base: float = 2.0, tile: int = TILE)
 
 
 def knn_kl_divergence(p: DataFrame, q: DataFrame, k: int = 3, base: float = 2.0, tile: int = TILE) -> DataFrame:
-    """KL(p || q) per ``g`` from a sample of each."""
-    p, q = materialize(p.select("g", "id", "v")), materialize(q.select("g", "id", "v"))
+    """KL(p || q) per ``g`` from a sample of each.
+
+    Points are jittered as for the other estimators, so repeated points have
+    small distances instead of none.
+    """
+    p, q = (materialize(jittered(d.select("g", "id", "v"))) for d in (p, q))
     tp = Tiles(p, tile)
     own = tp.kth_distance(p, k + 1).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg(F.log("r")).alias("a"))
     cross = Tiles(q, tile).kth_distance(p, k).groupBy("g").agg(F.avg(F.log("r")).alias("b"))
@@ -251,8 +255,10 @@ def mixed_mi(points: DataFrame, label: str = "label", k: int = 3, base: float =
     """
     plain = points.select("g", "id", "v")
     whole = materialize(knn_entropy(plain, k, base, tile))
-    names = points.withColumn("g", F.struct("g", F.col(label).alias("y")).cast("string")).select("g", "id", "v")
-    keys = points.select(F.struct("g", F.col(label).alias("y")).cast("string").alias("key"), "g").distinct()
+    # JSON quotes its texts, so two pairs never share a key
+    pair = F.to_json(F.struct("g", F.col(label).alias("y")))
+    names = points.withColumn("g", pair).select("g", "id", "v")
+    keys = points.select(pair.alias("key"), "g").distinct()
     given = knn_entropy(names, k, base, tile).withColumnRenamed("g", "key").join(keys, "key")
     given = given.select("g", F.col("n").alias("ny"), F.col("entropy").alias("hy"))
     j = given.join(whole, "g")

@@ -115,13 +115,17 @@ def correlation_groups(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """``(group, member)``: a kept feature with the later features it removed.
 
     A removed feature belongs to every kept earlier neighbour's group.  The
-    group is named after its alphabetically first member.
+    group is named after its alphabetically first member, or after its kept
+    feature where several groups have the same first member.
     """
     heads = kept.filter("kept").select(F.col("pos").alias("j"))
     gone = kept.filter(~F.col("kept")).select(F.col("pos").alias("i"))
     members = edges.join(heads, "j").join(gone, "i").select("j", F.col("f1").alias("head"), F.col("f2").alias("member"))
     everyone = members.select("j", "member").unionByName(members.select("j", F.col("head").alias("member")).distinct())
-    names = everyone.groupBy("j").agg(F.concat(F.lit("group_"), F.min("member")).alias("group"))
+    names = everyone.groupBy("j").agg(F.min("member").alias("first")).join(members.select("j", "head").distinct(), "j")
+    shared = names.groupBy("first").agg(F.count(F.lit(1)).alias("times"))
+    name = F.concat(F.lit("group_"), F.when(F.col("times") > 1, F.col("head")).otherwise(F.col("first")))
+    names = names.join(shared, "first").select("j", name.alias("group"))
     return everyone.join(names, "j").select("group", "member")
 
 
