@@ -79,9 +79,12 @@ def run_seeds(spark, sf):
     return s.join(F.broadcast(seeds), "run").groupBy("type", (F.col("seed") % 2).cast("bigint").alias("odd")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 def small(fusion, **kw):
     base = dict(
-        suffixes=X.SUFFIXES, subsets=[["EXPRESSION", "MUTATION"]], types=[["BUILDING"]], seeds=[7],
+        suffixes=X.SUFFIXES, subsets=[["EXPRESSION", "MUTATION"]], types=[["ALL"]], seeds=[7],
         models=["CPH-L2", "CLS-GB"], missing={"EXPRESSION": "median", "MUTATION": "mean"}, scalers={"EXPRESSION": "standardize", "MUTATION": "minmax_scale"},
         variance_threshold=1e-6, k=2, n_bootstraps=2, stability_threshold=1, method="MIM", fusion=fusion,
         grids={"CPH-L2": {"alpha": [1.0]}, "CLS-GB": {"n_estimators": [3], "learning_rate": [0.8]}},
@@ -109,5 +112,5 @@ def late_fusion_flow(spark, sf):
 
 @q("per_group_models")
 def per_group_models(spark, sf):
-    out = run_experiment(X.surv(spark, sf), small("early", types=[["BUILDING"], ["MACHINERY"]], subsets=[["MUTATION"]], models=["CPH-L2"], selection="none"))
+    out = run_experiment(X.surv(spark, sf), small("early", types=[[t] for t in SEGMENTS], subsets=[["MUTATION"]], models=["CPH-L2"], selection="none"))
     return out["performance"].select("types", "split", r6(F.col("cindex"), "cindex"))
