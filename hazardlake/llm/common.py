@@ -15,11 +15,22 @@ SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = "1000"  # texts of one Arrow batch; by default there are ten times as many
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: computed once, safe when executors are lost."""
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: computed once, safe when executors are lost.
+
+    Long texts go to Python in small batches while this runs.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = staging_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:

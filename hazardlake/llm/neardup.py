@@ -26,6 +26,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,9 +41,9 @@ from hazardlake.llm.shingles import shingle_hashes, words_text
 
 COORDINATES, ROWS = 64, 4
 THRESHOLD = 0.8
-PIECE = 4 << 20
-#: Rounds with other hubs before the remaining pairs are all verified.
-HUB_ROUNDS = 2
+PIECE = 1 << 20
+#: Numbers of 64 bits that mark what a node and its hub do not share.
+MARKS = 4
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -160,25 +161,58 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame)
     return rows.mapInArrow(sets, "node binary, items binary").groupBy("node").agg(F.first("items").alias("items"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the wanted Jaccard similarity."""
+def marks(elements: np.ndarray) -> np.ndarray:
+    """Bits of hashed elements, as signed numbers."""
+    out = np.zeros(MARKS, np.uint64)
+    place = elements & np.uint64(64 * MARKS - 1)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their shingle sets and of the intersection.
+
+    m0.. mark the shingles of b that a lacks, p0.. those of a that b lacks.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    names = [*[f"m{i}" for i in range(MARKS)], *[f"p{i}" for i in range(MARKS)]]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column("x"), b.column("y")
-            good = np.zeros(b.num_rows, bool)
+            out, bits = np.zeros((b.num_rows, 3), np.int32), np.zeros((b.num_rows, 2 * MARKS), np.int64)
             for i in range(b.num_rows):
                 p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                    continue
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                good[i] = both >= threshold * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good))
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                same = q[at] == p
+                out[i] = same.sum(), len(p), len(q)
+                gone = np.ones(len(q), bool)
+                gone[at[same]] = False
+                bits[i, :MARKS], bits[i, MARKS:] = marks(q[gone]), marks(p[~same])
+            cols = [*[pa.array(out[:, k]) for k in range(3)], *[pa.array(bits[:, k]) for k in range(2 * MARKS)]]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *cols], names=["a", "b", "both", "n_a", "n_b", *names])
+
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return met.mapInArrow(check, "a binary, b binary, both int, n_a int, n_b int, " + ", ".join(f"{c} long" for c in names))
+
+
+def bits_set(*numbers: Column) -> Column:
+    return functools.reduce(lambda a, b: a + b, [F.bit_count(n) for n in numbers])
+
+
+def most_shared(x: str, y: str) -> Column:
+    """No two nodes compared with one hub share more shingles than this."""
+    col = lambda side, c: F.col(f"{side}{c}")
+    lost = bits_set(*[col(x, f"m{i}").bitwiseOR(col(y, f"m{i}")) for i in range(MARKS)])
+    own = lambda a, b: col(a, "size") - col(a, "both") - bits_set(*[col(a, f"p{i}").bitwiseAND(F.bitwise_not(col(b, f"p{i}"))) for i in range(MARKS)])
+    # of the hub's shingles at most what neither lacks; of the others at most those that are not one's own for sure
+    hub_part = F.least(col(x, "both"), col(y, "both"), col(x, "hub_size") - lost)
+    return hub_part + F.least(own(x, y), own(y, x))
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+def linked(pairs: DataFrame, threshold: float) -> DataFrame:
+    return pairs.filter(F.col("both") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,37 +243,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min(first).alias("first"))
     nodes = stage(nodes, "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = stage(keyed.join(buckets, "key").select("key", "node", "hub"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = stage(keyed.join(sizes, "key"), "members")
+    weight = member.groupBy("node").agg(F.sum("n").alias("weight"))
+    member = member.select("key", "node").join(weight, "node")
+    hubs = member.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    member = stage(member.select("key", "node").join(hubs, "key"), "buckets")
 
     some = member.select("node").distinct()
     sets = stage(shingle_sets(docs, id_col, text_col, nodes.join(some, "node").select("node", F.col("first.id").alias("id"))), "shingle-sets")
-    tried = stage(member.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    edges = stage(verified(tried, sets, threshold), "edges")
+    pairs = member.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = stage(compared(pairs, sets), "compared")
+    edges = linked(near, threshold)
     labels = components(edges)
 
-    for turn in range(HUB_ROUNDS + 1):
-        placed = member.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-        open_ = stage(placed.join(several.filter("lo <> hi and n > 2").select("key"), "key"), "open-buckets")
-        if open_.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            draw = F.xxhash64("node", F.lit(turn))
-            hub = open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), draw).alias("hub"))
-            pairs = open_.join(hub, "key").filter(F.col("label") != F.col("hub.label")).select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
-        else:
-            parts = open_.select("key", "label").distinct()
-            sides = parts.join(parts.select("key", F.col("label").alias("other")), "key").filter("label < other")
-            pairs = open_.join(sides, ["key", "label"]).select("key", F.col("node").alias("u"), "other")
-            pairs = pairs.join(open_.select("key", F.col("label").alias("other"), F.col("node").alias("v")), ["key", "other"])
-        pairs = pairs.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-        pairs = stage(pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        more = stage(verified(pairs, sets, threshold), "edges")
-        tried = tried.union(pairs)
+    # nodes that did not join their hub's component, against the rest of their buckets
+    placed = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    top = placed.filter("node = hub").select("key", F.col("label").alias("hub_label"))
+    placed = placed.join(top, "key")
+    with_outs = placed.groupBy("key").agg(F.sum((F.col("label") != F.col("hub_label")).cast("int")).alias("outs"), F.count(F.lit(1)).alias("n")).filter("outs > 0 AND n > 2")
+    placed = placed.join(with_outs.select("key"), "key").filter("node <> hub")
+    bits = [f"{c}{i}" for c in "mp" for i in range(MARKS)]
+    told = near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both", F.col("n_a").alias("size"), F.col("n_b").alias("hub_size"), *bits)
+    placed = stage(placed.join(told, ["node", "hub"]), "open-buckets")
+    if not placed.isEmpty():
+        cols = ("node", "label", "both", "size", "hub_size", *bits)
+        x = placed.filter("label <> hub_label").select("key", *[F.col(c).alias(f"x_{c}") for c in cols])
+        y = placed.select("key", "hub_label", *[F.col(c).alias(f"y_{c}") for c in cols])
+        once = (F.col("y_label") == F.col("hub_label")) | (F.col("x_node") > F.col("y_node"))
+        may = (1 + threshold) * most_shared("x_", "y_") >= threshold * (F.col("x_size") + F.col("y_size")) - 1e-9
+        met = x.join(y, (x["key"] == y["key"]) & (F.col("x_label") != F.col("y_label")) & once & may)
+        pairs = met.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+        done = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        more = stage(linked(compared(pairs.join(done, ["a", "b"], "left_anti"), sets), threshold), "edges")
         if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
+            labels = components(edges.union(more))
 
     # down to the rows over runs of rows, so a class with a third of them stays spread
     n_runs = power_of_two(parallelism(docs.sparkSession))
