@@ -44,9 +44,10 @@ from hazardlake.llm.common import arrow_bytes, mix64, parallelism, pieces, power
 from hazardlake.llm.shingles import powers
 
 LENGTH, GRAM = 50, 24
-PIECE = 2 << 20
-RANGE_BYTES = 16 << 20  # text bytes whose anchors form one range
-SPLIT = 256  # surroundings of one anchor beyond which its windows are dealt one by one
+PIECE = 512 << 10
+MESSAGE_PLACES = 200_000
+RANGE_BYTES = 4 << 20  # text bytes whose anchors form one range
+SPLIT = 4096  # surroundings of one anchor beyond which its windows are dealt one by one
 NO_ID = (1 << 63) - 1
 TABLE = mix64(np.arange(1, 257).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 REQUEST = np.dtype([("h", "<u8"), ("pos", "<i4"), ("split", "<i4")])
@@ -119,6 +120,29 @@ def pack(doc, sub, who, pos, h, near) -> bytes:
     return b"".join(p.tobytes() for p in parts)
 
 
+def messages(doc: np.ndarray, sub: np.ndarray, found, bits: int) -> Iterator[pa.RecordBatch]:
+    """Messages to the ranges from (first document, who, pos, h, near) pieces, a few megabytes at a time."""
+    held: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        who, pos, h, near = (np.concatenate(x) for x in zip(*held))
+        to = (h >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange((1 << bits) + 1))
+        used = np.nonzero(np.diff(cut))[0]
+        sent = [pack(doc, sub, *(x[order[cut[r] : cut[r + 1]]] for x in (who, pos, h, near))) for r in used]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sent, pa.binary())], names=["r", "message"])
+
+    for first, who, pos, h, near in found:
+        held.append((who + first, pos, h, near))
+        if sum(len(x[0]) for x in held) >= MESSAGE_PLACES:
+            yield flush()
+    if held:
+        yield flush()
+    pa.default_memory_pool().release_unused()
+
+
 def unpack(message: bytes):
     m, n = np.frombuffer(message, np.int64, 2)
     at, out = 16, []
@@ -353,14 +377,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             raw, off = arrow_bytes(b.column("text"))
             doc, sub = b.column("doc").to_numpy(), b.column("sub").to_numpy()
-            for i, j in pieces(off, PIECE):
-                who, pos, h, near = anchors(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                to = (h >> np.uint64(64 - bits)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(n_ranges + 1))
-                used = np.nonzero(np.diff(cut))[0]
-                sent = [pack(doc[i:j], sub[i:j], *(x[order[cut[r] : cut[r + 1]]] for x in (who, pos, h, near))) for r in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sent, pa.binary())], names=["r", "message"])
+            found = (
+                (i, *anchors(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)) for i, j in pieces(off, PIECE)
+            )
+            yield from messages(doc, sub, found, bits)
 
     def meet(table: pa.Table) -> pa.Table:
         return match_anchors([m.as_buffer() for m in table["message"]], length, gram)
@@ -378,7 +398,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seg = texts.join(small(wanted), ["doc", "sub"]).select("doc", "sub", "text", "w").mapInArrow(read, SEGMENTS)
     seg = stage(seg, "segments")
     need = seg.filter("n_starts > 0").agg(F.sum(F.col("n_starts") * F.octet_length("bytes"))).first()[0] or 0
-    n_parts = max(parallelism(spark), -(-need // (4 * RANGE_BYTES)), 2)
+    n_parts = max(parallelism(spark), -(-need // (16 * RANGE_BYTES)), 2)
 
     def factors(table: pa.Table) -> pa.Table:
         return match_segments(table, length)
@@ -397,20 +417,26 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 class Texts(NamedTuple):
     texts: DataFrame  # doc, sub, text: every distinct text once, under its smallest document
     subs: DataFrame  # doc, tx, sub: sub counts the texts of one id
-    copies: DataFrame  # doc, tx, n, lead: rows whose text belongs to a smaller document
+    copies: DataFrame  # doc, tx, rx, n, lead: rows whose text belongs to a smaller document
     total: int  # bytes
 
 
 def distinct_texts(rows: DataFrame) -> Texts:
-    """Equal texts as one; ``rows`` has doc, text and tx."""
-    known = stage(rows.select("doc", "tx", F.octet_length("text").alias("n")).distinct(), "texts")
+    """Equal texts as one; ``rows`` has doc, text and tx, which is read once.
+
+    Later passes know a row by its id and a quick hash of its text.
+    """
+    quick = rows.withColumn("rx", F.xxhash64("text"))
+    known = stage(quick.select("doc", "tx", "rx", F.octet_length("text").alias("n")).distinct(), "texts")
     ranked = known.groupBy("tx").agg(F.min("doc").alias("lead"))
     placed = stage(known.join(ranked, "tx"), "placed")
-    copies = placed.filter("doc > lead").select("doc", "tx", "n", "lead")
+    copies = placed.filter("doc > lead")
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("tx")) - 1
-    subs = stage(placed.filter("doc = lead").select("doc", "tx", nth.alias("sub")), "subs")
-    special = stage(copies.select("doc", "tx", F.lit(-1).alias("sub")).union(subs.filter("sub > 0").select("doc", "tx", "sub")), "special")
-    texts = rows.join(small(special), ["doc", "tx"], "left").withColumn("sub", F.coalesce("sub", F.lit(0))).filter("sub >= 0")
+    subs = stage(placed.filter("doc = lead").select("doc", "tx").distinct().select("doc", "tx", nth.alias("sub")), "subs")
+    further = placed.filter("doc = lead").join(subs.filter("sub > 0"), ["doc", "tx"])
+    special = stage(copies.select("doc", "rx", F.lit(-1).alias("sub")).union(further.select("doc", "rx", "sub")).distinct(), "special")
+    texts = quick.select("doc", "text", "rx").join(small(special), ["doc", "rx"], "left")
+    texts = texts.withColumn("sub", F.coalesce("sub", F.lit(0))).filter("sub >= 0")
     total = known.agg(F.sum("n")).first()[0] or 0
     return Texts(texts.select("doc", "sub", "text"), subs, copies, total)
 
