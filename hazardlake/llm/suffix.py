@@ -11,7 +11,8 @@ start at most ``length - gram`` bytes before it, and for the bytes around it.
    around it, place) to hash ranges. An anchor of one document has no earlier
    match. Equal surroundings are one suffix group held by its first document;
    in the others everything around the anchor is matched. What remains, one
-   place per surrounding, needs its bytes.
+   place per surrounding, needs its bytes; its twins, the further places of the
+   same text with these surroundings, get the spans found for it.
 3. The bytes of these places are sorted as suffixes. In suffix order the previous
    and the next suffix of a smaller document give the longest previous factor:
    the longest match that starts in an earlier document. From ``length`` on it
@@ -50,7 +51,7 @@ RANGE_BYTES = 4 << 20  # text bytes whose anchors form one range
 SPLIT = 4096  # surroundings of one anchor beyond which its windows are dealt one by one
 NO_ID = (1 << 63) - 1
 TABLE = mix64(np.arange(1, 257).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-REQUEST = np.dtype([("h", "<u8"), ("pos", "<i4"), ("split", "<i4")])
+REQUEST = np.dtype([("h", "<u8"), ("pos", "<i4"), ("lead", "<i4"), ("split", "<i4")])  # a twin has another lead than itself
 
 
 def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -280,9 +281,15 @@ def match_anchors(messages: list[bytes], length: int, gram: int) -> pa.Table:
     np.maximum.at(high, of, lead)
     ask = (low < high)[of]
     wide = np.bincount(of)[of] > SPLIT
-    wanted = np.zeros(int(ask.sum()), REQUEST)
-    wanted["h"], wanted["pos"], wanted["split"] = h[head][ask], pos[head][ask], wide[ask]
-    return found_table(doc[later], sub[later], spans, lead[ask], sub[head][ask], wanted)
+    # every place of the leading document asks; inside one text the first stands for its twins
+    first = group.copy()
+    first[1:] |= (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])
+    first = pos[np.nonzero(first)[0]][np.cumsum(first) - 1]
+    to = np.cumsum(group) - 1
+    asks = ask[to] & ~later
+    wanted = np.zeros(int(asks.sum()), REQUEST)
+    wanted["h"], wanted["pos"], wanted["lead"], wanted["split"] = h[asks], pos[asks], first[asks], wide[to][asks]
+    return found_table(doc[later], sub[later], spans, doc[asks], sub[asks], wanted)
 
 
 def window_keys(windows: np.ndarray) -> np.ndarray:
@@ -291,50 +298,74 @@ def window_keys(windows: np.ndarray) -> np.ndarray:
     return mix64((TABLE[windows] * up[: windows.shape[1]]).sum(axis=1, dtype=np.uint64))
 
 
+def as_runs(places: np.ndarray) -> np.ndarray:
+    """Sorted places as rows of first place and number of neighbours from there on."""
+    at = np.nonzero(np.concatenate([[True], places[1:] != places[:-1] + 1]))[0]
+    return np.stack([places[at], np.diff(np.append(at, len(places)))], axis=1)
+
+
 def segments_of(ids, subs, raw, off, asked, length: int, gram: int) -> pa.RecordBatch:
-    """The bytes of the asked places; windows of split anchors one by one, those equal here met already."""
-    out: dict[str, list] = {k: [] for k in ("key", "doc", "sub", "start", "n_starts", "bytes", "upto")}
-    w_doc, w_sub, w_start, w_rows = [], [], [], []
+    """The bytes of the asked places; windows of split anchors one by one, those equal here met already.
+
+    ``twins`` are the starts of equal bytes in the same text, as runs.
+    """
+    out: dict[str, list] = {k: [] for k in ("key", "doc", "sub", "start", "n_starts", "bytes", "upto", "twins")}
+    w_of, w_start, w_rows, w_runs = [], [], [], []
+    none = np.zeros((0, 2), np.int64)
+
+    def put(key, i, start, n_starts, text, upto, twins):
+        for c, v in zip(out.values(), (key, ids[i], subs[i], start, n_starts, text, upto, twins)):
+            c.append(v)
+
     for i in range(len(ids)):
         text = raw[off[i] : off[i + 1]]
-        for h, pos, split in np.frombuffer(asked[i].as_buffer(), REQUEST).tolist():
+        ask = np.frombuffer(asked[i].as_buffer(), REQUEST)
+        ask = ask[np.lexsort((ask["pos"], ask["lead"], ask["h"]))]
+        first = np.nonzero(ask["pos"] == ask["lead"])[0]
+        for x, y in zip(first, np.append(first[1:], len(ask))):
+            h, pos, _, split = ask[x].tolist()
             a, b = max(0, pos - (length - gram)), min(len(text), pos + length)
             n = min(pos, b - length) - a + 1
+            runs = as_runs(ask["pos"][x + 1 : y].astype(np.int64) - (pos - a)) if y > x + 1 else none
             if split:
                 w_rows.append(np.lib.stride_tricks.sliding_window_view(text[a : a + n + length - 1], length))
                 w_start.append(np.arange(a, a + n))
-                w_doc.append(np.full(n, ids[i]))
-                w_sub.append(np.full(n, subs[i]))
+                w_of.append(np.full(n, i))
+                w_runs.extend([runs + [[j, 0]] for j in range(n)] if len(runs) else [none] * n)
             else:
-                out["key"].append(h - (1 << 64) if h >> 63 else h)
-                out["doc"].append(ids[i])
-                out["sub"].append(subs[i])
-                out["start"].append(a)
-                out["n_starts"].append(n)
-                out["bytes"].append(text[a:b].tobytes())
-                out["upto"].append(None)
+                twins = runs.astype(np.int32).tobytes() if len(runs) else None
+                put(h - (1 << 64) if h >> 63 else h, i, a, n, text[a:b].tobytes(), None, twins)
     if w_rows:
-        rows, start, doc, sub = np.concatenate(w_rows), np.concatenate(w_start), np.concatenate(w_doc), np.concatenate(w_sub)
+        rows, start, of = np.concatenate(w_rows), np.concatenate(w_start), np.concatenate(w_of)
+        doc, sub = np.asarray(ids, np.int64)[of], np.asarray(subs, np.int64)[of]
         keys = window_keys(rows)
-        order = np.lexsort((doc, keys))
+        order = np.lexsort((start, of, sub, doc, keys))
         new = np.ones(len(order), bool)
         new[1:] = keys[order][1:] != keys[order][:-1]
-        head = order[np.nonzero(new)[0][np.cumsum(new) - 1]]
+        own = new.copy()  # first window of its text
+        own[1:] |= of[order][1:] != of[order][:-1]
+        head, mine = (order[np.nonzero(x)[0][np.cumsum(x) - 1]] for x in (new, own))
         met = (doc[order] > doc[head]) & (rows[order] == rows[head]).all(axis=1)
-        forward = new | (~met & (doc[order] != doc[head]))
-        for at, done in zip(order[forward | met], met[forward | met]):
-            out["key"].append(int(keys[at].astype(np.int64)))
-            out["doc"].append(int(doc[at]))
-            out["sub"].append(int(sub[at]))
-            out["start"].append(int(start[at]))
-            out["n_starts"].append(0 if done else 1)
-            out["bytes"].append(None if done else rows[at].tobytes())
-            out["upto"].append(int(start[at]) + length if done else None)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+        twin = ~met & ~own & (rows[order] == rows[mine]).all(axis=1)
+        also: dict[int, list] = {}
+        for at, lead in zip(order[twin], mine[twin]):
+            also.setdefault(int(lead), []).append(at)
+        for at in order[~met & ~twin]:
+            equal = also.get(int(at), [])
+            runs = np.concatenate([w_runs[at], *(r for e in equal for r in (w_runs[e], [[start[e], 1]]))])
+            put(int(keys[at].astype(np.int64)), int(of[at]), int(start[at]), 1, rows[at].tobytes(), None, runs.astype(np.int32).tobytes() if len(runs) else None)
+        done: dict[int, list] = {}
+        for at in order[met]:
+            done.setdefault(int(of[at]), []).append(np.concatenate([w_runs[at], [[start[at], 1]]]))
+        for i, runs in done.items():
+            runs = np.concatenate(runs)
+            for a, b in merged(np.stack([runs[:, 0], runs.sum(axis=1) - 1 + length], axis=1)).tolist():
+                put(0, i, a, 0, None, b, None)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
-SEGMENTS = "key long, doc long, sub int, start int, n_starts int, bytes binary, upto int"
+SEGMENTS = "key long, doc long, sub int, start int, n_starts int, bytes binary, upto int, twins binary"
 
 
 def match_segments(table: pa.Table, length: int, most: int = 60_000) -> pa.Table:
@@ -343,7 +374,7 @@ def match_segments(table: pa.Table, length: int, most: int = 60_000) -> pa.Table
     order = np.argsort(key, kind="stable")
     key = key[order]
     doc, sub, start, n = (table[c].to_numpy()[order] for c in ("doc", "sub", "start", "n_starts"))
-    texts = table["bytes"].to_pylist()
+    texts, twins = table["bytes"].to_pylist(), table["twins"].to_pylist()
     new = np.append(np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0], len(key))
     load = np.concatenate([[0], np.cumsum(n)])
     docs, subs, spans = [], [], []
@@ -354,10 +385,19 @@ def match_segments(table: pa.Table, length: int, most: int = 60_000) -> pa.Table
             e += 1
         a, b = new[g], new[e]
         seg, off, factor = previous_factors(key[a:b], doc[a:b], [texts[i] for i in order[a:b]], n[a:b], length)
+        # joined inside each segment, then moved to its start and to those of its twins
+        part = np.stack([off, off + factor], axis=1) + (seg << 32)[:, None]
+        part = merged(part) if len(part) else part
+        seg, part = part[:, 0] >> 32, part & 0xFFFFFFFF
         docs.append(doc[a:b][seg])
         subs.append(sub[a:b][seg])
-        at = start[a:b][seg].astype(np.int64) + off
-        spans.append(np.stack([at, at + factor], axis=1))
+        spans.append(start[a:b][seg].astype(np.int64)[:, None] + part)
+        for i, (x, y) in zip(seg, part):
+            if twins[order[a + i]]:
+                runs = np.frombuffer(twins[order[a + i]], np.int32).reshape(-1, 2).astype(np.int64)
+                docs.append(np.full(len(runs), doc[a + i]))
+                subs.append(np.full(len(runs), sub[a + i]))
+                spans.append(np.stack([runs[:, 0] + x, runs.sum(axis=1) - 1 + y], axis=1))
         g = e
     none = np.zeros(0, np.int64)
     if not docs:

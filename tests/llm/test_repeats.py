@@ -52,6 +52,23 @@ def test_suffix_dedup_of_shared_pieces(spark, monkeypatch, seed, split):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def said_twice():
+    """Places that repeat inside one document, or under one id, and are known from an earlier document."""
+    known = "the same forty words or so said over and over again here"  # 56 bytes
+    about = f"{'<' * 5}left side of it {known} right side of it{'>' * 5}"
+    rows = [(1, f"other place {known} and on"), (2, f"{about} {' '.join(words(20, 5))} {about} {' '.join(words(20, 6))} {about}")]
+    rows += [(3, f"{' '.join(words(9, 7))} {about}"), (3, f"{' '.join(words(9, 8))} {about} {about}")]
+    rows += [(11, "-" * 60), (12, "-" * 300), (13, f"start {'-' * 200} middle {'-' * 200}"), (14, "=-" * 100), (15, "=-" * 30 + "x" + "=-" * 90)]
+    return rows + [(20 + i, f"{i}{known}{i * 7}" * 3) for i in range(9)]
+
+
+@pytest.mark.parametrize("split", [0, 2, 4096])
+def test_suffix_dedup_of_places_said_twice(spark, monkeypatch, split):
+    monkeypatch.setattr(suffix, "SPLIT", split)
+    for rows in (said_twice(), said_twice()[:2], [(1, "-" * 60), (2, "-" * 300)]):
+        assert found_bytes(suffix.dedup_substrings(table(spark, rows)).collect()) == brute_bytes(rows)
+
+
 def test_split_anchors_in_one_process():
     """Split and unsplit anchors give the same bytes."""
     texts = {i: (f"{i:04d}" * 12 + "the common phrase of more than twentyfour bytes " + f"{i % 3:04d}" * 12).encode() for i in range(40)}
