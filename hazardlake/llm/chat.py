@@ -6,7 +6,8 @@ of what the budget leaves after history and system turn, so a cell and the end
 of its last turn fit; a turn that is longer than a cell is the last of its cell
 and gets a window of its own. Every window starts with the conversation's first
 system turn, repeats the turns that begin within ``history`` tokens before it,
-and then has its new turns. Only new assistant texts are under the loss mask, so
+and then has its new turns. The window of a long turn repeats as many of these,
+the nearest first, as the budget leaves room for beside it. Only new assistant texts are under the loss mask, so
 each is learned once.
 
 Template: ``<|im_start|>role<|im_sep|>text<|im_end|>``. In roles and texts ``\\``
@@ -92,18 +93,24 @@ def chat_windows(
     rows = rows.withColumn("cell", cell)
     long = F.when(F.col("tokens") > F.col("cell"), 1).otherwise(0)
     rows = rows.withColumn("window", F.floor(F.col("start") / F.col("cell")) * 2 + long)
-    spans = rows.groupBy("conv", "window").agg(F.min("start").alias("from"), F.min("seq").alias("head"))
+    # tokens left beside a long turn, which is alone in its window; the other windows have room for all history
+    told_too = F.when(F.col("sq") != F.col("seq"), F.col("st"))
+    room = F.when(F.col("tokens") > F.col("cell"), budget - F.col("tokens") - F.coalesce(told_too, F.lit(0)))
+    spans = rows.groupBy("conv", "window").agg(F.min("start").alias("from"), F.min("seq").alias("head"), F.min(room).alias("room"))
 
     item = F.struct("seq", F.lit(True).alias("fresh"), "role", "text").alias("item")
     new = rows.select("conv", "window", item)
-    # windows of ordinary turns that begin within `history` tokens after this turn began
+    # windows that begin within `history` tokens after this turn began
     first, reach = F.floor(F.col("start") / F.col("cell")), F.floor((F.col("start") + history) / F.col("cell"))
     old = F.struct("seq", F.lit(False).alias("fresh"), "role", "text").alias("item")
     earlier = rows.filter(F.col("sq").isNull() | (F.col("seq") != F.col("sq")))
-    cells = F.transform(F.sequence(first, reach), lambda c: c * 2)
-    earlier = earlier.select("conv", "start", "seq", old, F.explode(cells).alias("window"))
+    windows = F.sequence(first * 2, reach * 2 + 1)
+    earlier = earlier.select("conv", "start", "seq", "sq", "st", old, F.explode(windows).alias("window"))
+    # the system turn is counted once, in `room`
+    told_between = F.when((F.col("sq") > F.col("seq")) & (F.col("sq") < F.col("head")), F.col("st"))
+    needed = F.col("from") - F.col("start") - F.coalesce(told_between, F.lit(0))
     repeats = join_same(earlier, spans, ["conv", "window"]).filter(
-        (F.col("head") > F.col("seq")) & (F.col("from") <= F.col("start") + history)
+        (F.col("head") > F.col("seq")) & (F.col("from") <= F.col("start") + history) & (F.col("room").isNull() | (needed <= F.col("room")))
     )
     told = join_same(spans, system, ["conv"]).select(
         "conv", "window", F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(False).alias("fresh"), F.col("system.role").alias("role"), F.col("system.text").alias("text")).alias("item"), F.col("system.seq").alias("sq"),
@@ -111,7 +118,7 @@ def chat_windows(
     own = rows.filter(F.col("seq") == F.col("sq")).select("conv", F.col("window").alias("own"))
     told = join_same(told, own, ["conv"]).filter(F.col("own") != F.col("window")).select("conv", "window", "item")
     parts = new.unionByName(repeats.select("conv", "window", "item")).unionByName(told)
-    # a window's turns are bounded by the budget
+    # a window's turns are bounded by the budget, or by its one oversize turn
     listed = parts.groupBy("conv", "window").agg(F.sort_array(F.collect_list("item")).alias("items"))
     listed = listed.withColumn("texts", F.transform("items", lambda x: escaped(x["text"])))
     listed = listed.withColumn(

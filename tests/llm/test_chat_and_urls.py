@@ -64,6 +64,25 @@ def test_windows_keep_budget_system_and_history(spark):
     assert sum(len(r.loss) for r in rows) == 11
 
 
+def test_long_turns_get_the_history_the_budget_leaves(spark):
+    said = lambda k, n: f"t{k} " + "word " * (n - 1)  # n tokens and 4 for the marks
+    rows = [
+        *[(1, k, r, said(k, n)) for k, r, n in [(0, "user", 20), (1, "user", 40), (2, "assistant", 500)]],
+        *[(2, k, r, said(k, n)) for k, r, n in [(0, "system", 700), (1, "user", 30), (2, "assistant", 150)]],
+        *[(3, k, r, said(k, n)) for k, r, n in [(0, "system", 900), (1, "user", 30), (2, "assistant", 40)]],
+        *[(4, k, r, said(k, n)) for k, r, n in [(0, "user", 40), (1, "user", 60), (2, "assistant", 950)]],
+        *[(5, k, r, said(k, n)) for k, r, n in [(0, "user", 40), (1, "assistant", 1100)]],
+        *[(6, k, r, said(k, n)) for k, r, n in [(0, "user", 30), (1, "system", 60), (2, "assistant", 890)]],
+    ]
+    windows = chat.chat_windows(conversations(spark, rows), budget=1024, history=128).collect()
+    turns = {r.conv_id: [p.split("<|im_sep|>")[1].split()[0] for p in r.formatted.split("<|im_start|>")[1:]] for r in windows if r.loss}
+    assert turns == {1: ["t0", "t1", "t2"], 2: ["t0", "t1", "t2"], 3: ["t0", "t1", "t2"], 4: ["t1", "t2"], 5: ["t1"], 6: ["t1", "t0", "t2"]}
+    for r in windows:
+        tokens = sum(len(p.split("<|im_sep|>")[1].replace("<|im_end|>", "").split()) + 4 for p in r.formatted.split("<|im_start|>")[1:])
+        assert tokens <= 1024 or (r.conv_id == 5 and len(r.fresh) == 1)
+        assert all(r.formatted[:a].endswith("assistant<|im_sep|>") for a, _ in r.loss) and len(r.loss) <= 1
+
+
 def test_no_conversations(spark):
     assert chat.read_back(chat.chat_windows(conversations(spark, ROWS).limit(0))).count() == 0
 
