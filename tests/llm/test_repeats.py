@@ -241,6 +241,22 @@ def test_partners_beyond_first_and_previous(spark):
     assert (got[0].start, got[0].n_words) == (60, 68)
 
 
+def test_places_of_seeds_that_a_partner_repeats_often(spark):
+    """An entry of a templated text is quoted; each of its parts stands in many entries, together only in one."""
+    lines = [" ".join(words(8, 80 + k)) for k in range(5)]
+    fills = [[" ".join(words(4, 90 + 3 * k + v)) for v in range(3)] for k in range(4)]
+
+    def entry(*v):
+        return " ".join([f"{line} {fills[k][v[k]]}" for k, line in enumerate(lines[:4])] + lines[4:])
+
+    made = [entry(a, b, c, d) for a in range(3) for b in range(3) for c in range(3) for d in range(3)]
+    text = " ".join(f"{m} {' '.join(words(30, 900 + i))}" for i, m in enumerate(made))
+    quoted = f"{' '.join(words(20, 61))} {entry(2, 1, 2, 1)} {' '.join(words(20, 62))}"
+    got = [r for r in chaining.fuzzy_passages(table(spark, [(1, text), (2, quoted)])).collect() if r.identity == 1.0]
+    want = made.index(entry(2, 1, 2, 1)) * 86
+    assert [(r.doc_id, r.source_id, r.start, r.n_words, r.source_start) for r in got] == [(2, 1, 20, 56, want)]
+
+
 def exact_windows(rows, n):
     first, out = {}, []
     for i, t in rows:
