@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlake.llm import chaining, chat, contamination, exact, language, mixing, neardup, pii, sqltext, suffix, urls
+from hazardlake.llm import (
+    chaining, chat, contamination, exact, language, license, mixing, neardup, pii, resampling, spelling, sqltext, suffix, urls,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,18 @@ def op10_decontamination(spark, sf_dir):
     return found.drop("text_hash")
 
 
+def op11_license_scan(spark, sf_dir):
+    return license.license_labels(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_personal_data": op2_personal_data,
@@ -78,5 +92,8 @@ QUERIES = {
     "op8_fuzzy_passages": op8_fuzzy_passages,
     "op9_url_rules": op9_url_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_license_scan": op11_license_scan,
+    "op12_resampling": op12_resampling,
+    "op13_spelling": op13_spelling,
 }
 SQL = sqltext.SQL

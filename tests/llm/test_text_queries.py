@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_keep_columns_and_shrink(spark):
