@@ -55,25 +55,28 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST,
 
 
 def cut_groups(members: DataFrame) -> DataFrame:
-    """Each group by the two halves of its middle; ``members``: word, m, a, b (code points shared in front, behind)."""
+    """Each group by the two halves of its middle.
+
+    ``members``: word, m, a, b (code points shared in front, behind), path (the cuts so far as
+    bits behind a leading one, 0 for front).
+    """
     half = F.floor((F.col("m") - F.col("a") - F.col("b")) / 2).cast("int")
-    sides = F.array(
-        F.struct((F.col("a") + half).alias("a"), F.col("b").alias("b")), F.struct(F.col("a").alias("a"), (F.col("b") + half).alias("b"))
-    )
-    return members.select("word", "m", F.explode(sides).alias("s")).select("word", "m", "s.a", "s.b")
+    side = lambda a, b, bit: F.struct((F.col("a") + a).alias("a"), (F.col("b") + b).alias("b"), (F.col("path") * 2 + bit).alias("path"))
+    sides = F.array(side(half, F.lit(0), F.lit(0)), side(F.lit(0), half, F.lit(1)))
+    return members.select("word", "m", F.explode(sides).alias("s")).select("word", "m", "s.a", "s.b", "s.path")
 
 
 def with_key(members: DataFrame) -> DataFrame:
     """What the members of a group share, as a 64-bit hash."""
     word, n = F.col("word"), F.length("word")
     shared = [F.substring(word, F.lit(1), F.col("a")), F.substring(word, n - F.col("b") + 1, F.col("b"))]
-    return members.withColumn("key", F.xxhash64("m", "a", "b", *shared))
+    return members.withColumn("key", F.xxhash64("m", "path", *shared))
 
 
 def groups(vocabulary: DataFrame, tile: int) -> DataFrame:
-    """word, m, a, b, key: members of groups of at most ``tile`` words or with a middle of one code point."""
+    """word, m, a, b, path, key: members of groups of at most ``tile`` words or with a middle of one code point."""
     n = F.length("word")
-    start = vocabulary.select("word", F.explode(F.array(n, n - 1)).alias("m")).select("word", "m", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    start = vocabulary.select("word", F.explode(F.array(n, n - 1)).alias("m")).select("word", "m", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).cast("bigint").alias("path"))
     open_, done = cut_groups(start), None
     while True:
         members = stage(with_key(open_), "spelling-groups")
@@ -92,10 +95,10 @@ def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(other.any(axis=1), other.argmax(axis=1), x.shape[1])
 
 
-def tile_pairs(codes: np.ndarray, length: np.ndarray, key: np.ndarray, m: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(codes: np.ndarray, length: np.ndarray, key: np.ndarray, m: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Near pairs (i, j) of rows sorted by key.
 
-    ``codes``: padded code points. ``rule``: a and b of every row's group.
+    ``codes``: padded code points. ``path``: the cuts of every row's group.
     """
     width = codes.shape[1]
     # the same words, padded in front, so that suffixes line up
@@ -120,7 +123,7 @@ def tile_pairs(codes: np.ndarray, length: np.ndarray, key: np.ndarray, m: np.nda
             near = pre + suf >= long - 1
             at, pre = at[near], pre[near]
             # a pair that agrees in front is counted there, at every cut
-            ok = first_group(pre, m[at], rule[at])
+            ok = first_group(pre, m[at], path[at])
             left.append(at[ok])
             right.append(at[ok] + d)
         d += 1
@@ -128,21 +131,21 @@ def tile_pairs(codes: np.ndarray, length: np.ndarray, key: np.ndarray, m: np.nda
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def first_group(pre: np.ndarray, m: np.ndarray, rule: np.ndarray) -> np.ndarray:
-    """Whether a pair with common prefix ``pre`` belongs to this group: redo the cuts, prefix first.
+def first_group(pre: np.ndarray, m: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Whether a pair with common prefix ``pre`` belongs to this group: redo the cuts.
 
-    At every cut a pair whose middles agree on the first half goes to the front, else behind.
+    At every cut a pair that agrees on the first half of the middle goes to the front, else behind.
     """
-    a, b = np.zeros_like(m), np.zeros_like(m)
-    want_a, want_b = rule[:, 0], rule[:, 1]
-    going = np.ones(len(m), bool)
-    while going.any():
+    a, b, way = np.zeros_like(m), np.zeros_like(m), np.ones_like(m)
+    while True:
+        going = way < path
+        if not going.any():
+            return way == path
         half = (m - a - b) // 2
-        front = pre >= a + half
-        a = np.where(going & front, a + half, a)
-        b = np.where(going & ~front, b + half, b)
-        going &= (a + b < want_a + want_b) & (half > 0)
-    return (a == want_a) & (b == want_b)
+        behind = pre < a + half
+        a = np.where(going & ~behind, a + half, a)
+        b = np.where(going & behind, b + half, b)
+        way = np.where(going, 2 * way + behind, way)
 
 
 def near_pairs(members: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def near_pairs(members: DataFrame) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         words = table.column("word").to_pylist()
         key = table.column("key").to_numpy()
-        m, a, b = (table.column(c).to_numpy().astype(np.int64) for c in ("m", "a", "b"))
+        m, path = (table.column(c).to_numpy().astype(np.int64) for c in ("m", "path"))
         length = np.fromiter(map(len, words), np.int64, len(words))
         order = np.lexsort((length, key))
         out = [[], []]
@@ -169,7 +172,7 @@ def near_pairs(members: DataFrame) -> DataFrame:
             at = order[start:stop]
             text = np.array([words[i] for i in at])
             codes = text.view(np.uint32).reshape(len(at), -1)
-            i, j = tile_pairs(codes, length[at], key[at], m[at], np.stack([a[at], b[at]], axis=1))
+            i, j = tile_pairs(codes, length[at], key[at], m[at], path[at])
             for x, y in ((i, j), (j, i)):
                 out[0] += [words[k] for k in at[x]]
                 out[1] += [words[k] for k in at[y]]
