@@ -51,7 +51,9 @@ def cut(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 def feature_buckets(text: pa.Array, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of every feature, text of every feature, words of every text); texts ascend within words and within pairs."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(text.cast(pa.large_string()), "")), pattern=BETWEEN)
+    # a slice is copied first: lowering goes wrong on offsets that do not begin at 0
+    text = pc.fill_null(text.take(pa.array(np.arange(len(text)))), "")
+    lists = pc.split_pattern_regex(pc.ascii_lower(text), pattern=BETWEEN)
     words, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
     there = pc.greater(pc.binary_length(words), 0)
     coded = pc.dictionary_encode(words.filter(there))
