@@ -1,7 +1,7 @@
 """Cox models fitted by Spark passes, many models at a time.
 
 Rows are ``(id, os, os_time, x array<double>[, fold])``.  A batch of models
-(penalties x folds, or one single-feature model per column) shares every pass.
+(penalties x folds) shares every pass; single-feature models are in `coxscreen`.
 One pass sums e^eta per distinct time, a second one, knowing the cumulative
 baseline hazard H0, sums x (event - e^eta H0), which is the gradient of the
 Breslow partial likelihood, and x x' e^eta H0, a bound on its curvature.  The
@@ -32,17 +32,16 @@ NET_L1_RATIOS = (1e-16, 0.25, 0.5, 0.75, 1.0)
 NET_MIN_RATIOS = (0.0001, 0.001, 0.01, 0.1)
 
 
-def _eta(x: np.ndarray, beta: np.ndarray, single: bool) -> np.ndarray:
-    x = np.nan_to_num(x, nan=0.0)
-    return np.clip(x * np.diagonal(beta) if single else x @ beta.T, -500, 500)
+def _eta(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return np.clip(np.nan_to_num(x, nan=0.0) @ beta.T, -500, 500)
 
 
-def _mask(b: dict, x: np.ndarray, held_out: np.ndarray, single: bool) -> np.ndarray:
-    """Which rows each model sees: not its held-out fold, and (single) not a missing value."""
+def _mask(b: dict, x: np.ndarray, held_out: np.ndarray) -> np.ndarray:
+    """Which rows each model sees: not its held-out fold."""
     m = np.ones((len(x), len(held_out)))
     if (held_out >= 0).any():
         m *= b["fold"][:, None] != held_out[None, :]
-    return m * ~np.isnan(x) if single else m
+    return m
 
 
 @dataclass
@@ -52,7 +51,6 @@ class CoxProblem:
     rows: DataFrame
     n_features: int
     held_out: Sequence[int] = (-1,)
-    single: bool = False
     max_time_cells: int = MAX_TIME_CELLS
     times: np.ndarray | None = field(default=None, init=False)
 
@@ -71,14 +69,14 @@ class CoxProblem:
         return self.times is not None
 
     def _partial_time_sums(self, beta):
-        times, held, single = self.times, self.held_out, self.single
+        times, held = self.times, self.held_out
 
         def partial(batches):
             m = len(held)
             s0, d, lin = np.zeros((len(times), m)), np.zeros((len(times), m)), np.zeros(m)
             for b in batches:
                 x = b["x"]
-                eta, seen = _eta(x, beta, single), _mask(b, x, held, single)
+                eta, seen = _eta(x, beta), _mask(b, x, held)
                 at = np.searchsorted(times, b["os_time"])
                 ev = seen * b["os"][:, None]
                 np.add.at(s0, at, np.exp(eta) * seen)
@@ -104,7 +102,7 @@ class CoxProblem:
         return self._hazard_table(beta)
 
     def _hazard_table(self, beta):
-        held, single = self.held_out, self.single
+        held = self.held_out
 
         def sums(batches):
             for rb in batches:
@@ -112,7 +110,7 @@ class CoxProblem:
                     continue
                 b = to_numpy(rb)
                 x = b["x"]
-                eta, seen = _eta(x, beta, single), _mask(b, x, held, single)
+                eta, seen = _eta(x, beta), _mask(b, x, held)
                 times, at = np.unique(b["os_time"], return_inverse=True)
                 ev = seen * b["os"][:, None]
                 out = np.zeros((3, len(times), len(held)))
@@ -146,25 +144,21 @@ class CoxProblem:
     def gradients(self, beta: np.ndarray, h0, curvature: str = "full"):
         """Gradient (m x p) and curvature bound: p x p per model, its diagonal, or none."""
         m, p = len(self.held_out), self.n_features
-        held, single, times = self.held_out, self.single, self.times
+        held, times = self.held_out, self.times
         sc = self.rows.sparkSession.sparkContext
         sent = sc.broadcast(h0) if self.on_driver else None
         rows = self.rows if self.on_driver else self.rows.join(h0.withColumnRenamed("time", "os_time"), "os_time")
 
         def partial(batches):
             grad = np.zeros((m, p))
-            curv = np.zeros((m, p, p)) if curvature == "full" and not single else np.zeros((m, p))
+            curv = np.zeros((m, p, p)) if curvature == "full" else np.zeros((m, p))
             for b in batches:
                 x = b["x"]
-                eta, seen = _eta(x, beta, single), _mask(b, x, held, single)
+                eta, seen = _eta(x, beta), _mask(b, x, held)
                 base = sent.value[np.searchsorted(times, b["os_time"])] if sent is not None else b["h0"]
                 w = np.exp(eta) * base * seen
                 res = seen * b["os"][:, None] - w
                 x = np.nan_to_num(x, nan=0.0)
-                if single:
-                    grad[np.arange(m), np.arange(p)] += (x * res).sum(axis=0)
-                    curv[np.arange(m), np.arange(p)] += (x * x * w).sum(axis=0)
-                    continue
                 grad += res.T @ x
                 if curvature == "full":
                     for j in range(m):
@@ -174,7 +168,7 @@ class CoxProblem:
             return range(m), [np.concatenate([grad[j], curv[j].ravel()]) for j in range(m)]
 
         grad = np.zeros((m, p))
-        full = curvature == "full" and not single
+        full = curvature == "full"
         curv = np.zeros((m, p, p)) if full else np.zeros((m, p))
         for r in sum_vectors(rows, partial).collect():  # one vector per model
             v = np.asarray(r["v"])
@@ -337,42 +331,3 @@ def fit_elastic_net(
     slack = grad / n[:, None] - (alpha * (1 - l1r))[:, None] * beta
     kkt = np.where(beta != 0, np.abs(slack - (alpha * l1r)[:, None] * np.sign(beta)), np.maximum(np.abs(slack) - (alpha * l1r)[:, None], 0))
     return [CoxModel(list(features), beta[j], center, float(loglik[j]), n_alphas, kkt[j]) for j in range(m)]
-
-
-def univariate_screen(rows: DataFrame, features: Sequence[str], max_iter: int = 25, max_time_cells: int = MAX_TIME_CELLS) -> DataFrame:
-    """One Cox model per feature, all in the same passes.
-
-    ``(feature, beta, lr, rank)`` ordered by the likelihood-ratio statistic;
-    missing values drop out of their own feature's model only.
-    """
-    p = len(features)
-    center = feature_means(rows, p)
-    scale = np.ones(p)
-    dev = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.stddev_pop("v").alias("s"))
-    for r in dev.collect():  # one row per feature
-        scale[r["i"]] = r["s"] or 1.0
-    c, s = F.array(*[F.lit(float(v)) for v in center]), F.array(*[F.lit(float(v)) for v in scale])
-    std = rows.withColumn("x", F.zip_with(F.zip_with("x", c, lambda a, b: a - b), s, lambda a, b: a / b))
-    prob = CoxProblem(std, p, [-1] * p, single=True, max_time_cells=max_time_cells)
-    b = np.zeros(p)
-    null, _ = prob.hazards(np.diag(b))
-    kept, best, step = b.copy(), np.full(p, -np.inf), np.zeros(p)
-    done = np.zeros(p, dtype=bool)
-    for _ in range(max_iter):
-        ll, h0 = prob.hazards(np.diag(b))
-        grad, curv = prob.gradients(np.diag(b), h0)
-        g, h = np.diagonal(grad), np.diagonal(curv)
-        worse = (ll < best - 1e-10 * np.abs(best)) & ~done
-        ok = ~worse & ~done
-        gain = ll - best
-        kept, best = np.where(ok, b, kept), np.where(ok, ll, best)
-        s = np.where(h > 0, g / np.where(h > 0, h, 1.0), 0.0)
-        done |= ok & ((gain < 1e-10 * (np.abs(ll) + 1)) | (g * s < 1e-12))
-        step = np.where(worse, step / 2, np.where(ok, s, step))
-        b = np.where(done, kept, kept + step)
-        if done.all():
-            break
-    lr = 2 * (best - null)
-    order = sorted(range(p), key=lambda i: (-round(float(lr[i]), 6), i))
-    table = [(features[i], float(kept[i] / scale[i]), float(lr[i]), k + 1) for k, i in enumerate(order)]
-    return rows.sparkSession.createDataFrame(table, "feature string, beta double, lr double, rank int")

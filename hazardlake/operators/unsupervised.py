@@ -8,11 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.functions.gram import sum_vectors
+from hazardlake.functions import blocks
 from hazardlake.session import materialize
 
-MAX_DRIVER_EDGES = 2_000_000
-
 
 def low_variance(long: DataFrame, threshold: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
     """Population variance per feature and whether it exceeds the threshold.
@@ -27,47 +25,26 @@ def low_variance(long: DataFrame, threshold: float = 0.05, keys: Sequence[str] =
     return s.select(*keys, "feature", shown.alias("variance"), F.coalesce(shown > threshold, F.lit(False)).alias("kept"))
 
 
-def pearson_pairs(vectors: DataFrame, features: Sequence[str], x: str = "x") -> DataFrame:
-    """``(i, j, f1, f2, r, n)`` for all feature pairs i > j, nulls left out pairwise.
-
-    ``vectors`` holds one array column.  Each task adds up four p x p products
-    of its centred rows, so what is shuffled is p rows per task, not rows x
-    pairs.  Constant or never jointly present pairs give NULL.
+def pearson_pairs(
+    vectors: DataFrame,
+    features: Sequence[str],
+    x: str = "x",
+    threshold: float | None = None,
+    absolute: bool = False,
+    index: Sequence[int] | None = None,
+    block: int = blocks.BLOCK,
+) -> DataFrame:
+    """``(i, j, f1, f2, r, n)`` for feature pairs i > j, nulls left out pairwise.
+
+    ``vectors`` holds one array column; ``index`` names the places of ``features`` in it, all in
+    order by default. Constant or never jointly present pairs give NULL. With a ``threshold``
+    only pairs that reach it (signed, or ``absolute``) leave their block, so a screening
+    of tens of thousands of columns returns its edges, not p x p rows.
     """
-    p = len(features)
-    means = vectors.select(F.posexplode(x).alias("pos", "v")).filter(~F.isnan("v")).groupBy("pos").agg(F.avg("v").alias("m"))
-    center = np.zeros(p)
-    for r in means.collect():  # one row per feature
-        center[r["pos"]] = r["m"]
-
-    def products(batches):
-        xx, xm, qm, mm = (np.zeros((p, p)) for _ in range(4))
-        for b in batches:
-            a = b["x"] - center
-            m = (~np.isnan(a)).astype(float)
-            a = np.nan_to_num(a, nan=0.0)
-            xx += a.T @ a
-            xm += a.T @ m
-            qm += (a * a).T @ m
-            mm += m.T @ m
-        return range(p), [np.concatenate([xx[i], xm[i], qm[i], mm[i]]) for i in range(p)]
-
-    rows = sum_vectors(vectors.select(F.col(x).alias("x")), products)
-    names = F.array(*[F.lit(f) for f in features])
-    sl = lambda part: F.slice("v", part * p + 1, p)
-    pairs = rows.select(F.col("k").alias("i"), F.posexplode(F.arrays_zip(sl(0).alias("xx"), sl(1).alias("xm"), sl(2).alias("qm"), sl(3).alias("mm"))).alias("j", "c"), "v")
-    # sums of the other side of the pair come from the mirrored entries
-    mirror = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("c.xm").alias("yt"), F.col("c.qm").alias("yq"))
-    both = pairs.filter("i > j").join(mirror.filter("i > j"), ["i", "j"])
-    n, sx, sy = F.col("c.mm"), F.col("c.xm"), F.col("yt")
-    cov = F.col("c.xx") - sx * sy / n
-    vx, vy = F.col("c.qm") - sx * sx / n, F.col("yq") - sy * sy / n
-    tiny = 1e-12
-    ok = (n > 1) & (vx > tiny * F.col("c.qm")) & (vy > tiny * F.col("yq"))
-    return both.select(
-        "i", "j", F.get(names, F.col("j")).alias("f1"), F.get(names, F.col("i")).alias("f2"),
-        F.when(ok, cov / F.sqrt(vx * vy)).alias("r"), n.cast("bigint").alias("n"),
-    )
+    at = np.arange(len(features)) if index is None else np.asarray(index, dtype=np.int64)
+    center = blocks.column_means(vectors, x, at)
+    partial = blocks.block_products(vectors, x, at, center, block)
+    return blocks.finish(partial, blocks.pair_rows(features, block, threshold, absolute), "i int, j int, f1 string, f2 string, r double, n long")
 
 
 def correlated_edges(pairs: DataFrame, threshold: float = 0.8, absolute: bool = False) -> DataFrame:
@@ -75,40 +52,34 @@ def correlated_edges(pairs: DataFrame, threshold: float = 0.8, absolute: bool =
     return pairs.filter(r >= threshold).select("i", "j", "f1", "f2", "r")
 
 
-def drop_correlated(edges: DataFrame, n_features: int) -> DataFrame:
+def drop_correlated(edges: DataFrame, n_features: int, block: int = blocks.BLOCK) -> DataFrame:
     """``(pos, kept)``: feature i goes when an earlier kept feature j has an edge to it.
 
-    Few edges (features x a handful) are swept on the driver.  Beyond
-    ``MAX_DRIVER_EDGES`` the same rule runs as rounds of joins: a feature with
-    no undecided earlier neighbour is decided in each round.
+    The sweep takes the features in blocks. What a block loses to kept features of
+    earlier blocks is one aggregate; only the edges inside the block, bounded by its
+    size, are swept in order here. One flag per feature is all that is kept.
     """
     spark = edges.sparkSession
-    if edges.limit(MAX_DRIVER_EDGES + 1).count() <= MAX_DRIVER_EDGES:
-        earlier: dict[int, list[int]] = {}
-        for r in edges.select("i", "j").collect():
-            earlier.setdefault(r["i"], []).append(r["j"])
-        dropped: set[int] = set()
-        for i in sorted(earlier):
-            if any(j not in dropped for j in earlier[i]):
-                dropped.add(i)
-        return spark.createDataFrame([(i, i not in dropped) for i in range(n_features)], "pos int, kept boolean")
-    return _drop_by_rounds(edges, n_features)
-
-
-def _drop_by_rounds(edges: DataFrame, n_features: int) -> DataFrame:
-    spark = edges.sparkSession
-    links = materialize(edges.select("i", "j"))
-    state = spark.range(n_features).select(F.col("id").cast("int").alias("pos"), F.lit(None).cast("boolean").alias("kept"))
-    while True:
-        seen = links.join(state, links["j"] == state["pos"]).groupBy("i").agg(
-            F.max(F.coalesce(F.col("kept"), F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open")
-        )
-        decided = F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = materialize(
-            state.join(seen, state["pos"] == seen["i"], "left").select("pos", F.coalesce("kept", decided).alias("kept"))
-        )
-        if state.filter(F.col("kept").isNull()).isEmpty():
-            return state
+    cell = lambda c: F.floor(F.col(c) / block).cast("int")
+    placed = edges.select("i", "j", cell("i").alias("bi"), cell("j").alias("bj"))
+    n_blocks = -(-n_features // block)
+    if n_blocks > 1:  # a block reads its own edges only
+        placed = materialize(placed.repartition("bi").sortWithinPartitions("bi"))
+    kept = np.ones(n_features, dtype=bool)
+    for b in range(n_blocks):
+        mine, lo = placed.filter(F.col("bi") == b), b * block
+        gone = np.zeros(min(block, n_features - lo), dtype=bool)
+        if b:
+            flags = spark.createDataFrame([(int(k),) for k in np.flatnonzero(kept[:lo])], "j int")
+            lost = mine.filter(F.col("bj") < b).join(flags, "j", "left_semi").select("i").distinct()
+            for r in lost.collect():  # at most one row per feature of the block
+                gone[r["i"] - lo] = True
+        inside = mine.filter(F.col("bj") == b).select("i", "j").toPandas().sort_values(["i", "j"])  # at most block * block / 2 rows
+        for i, j in inside.to_numpy() - lo:
+            if not gone[j]:
+                gone[i] = True
+        kept[lo : lo + len(gone)] = ~gone
+    return spark.createDataFrame([(i, bool(k)) for i, k in enumerate(kept)], "pos int, kept boolean")
 
 
 def correlation_groups(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -156,10 +127,9 @@ def unsupervised_screen(
         keep = [f for f in keep if f in ok]
     if handle_correlated == "ignore" or len(keep) < 2:
         return keep, None
-    index = [list(features).index(f) for f in keep]
-    sub = vectors.select(F.array(*[F.get("x", F.lit(i)) for i in index]).alias("x"))
-    edges = correlated_edges(pearson_pairs(sub, keep), corr_threshold, absolute)
-    edges = materialize(edges)
+    place = {f: i for i, f in enumerate(features)}
+    found = pearson_pairs(vectors, keep, threshold=corr_threshold, absolute=absolute, index=[place[f] for f in keep])
+    edges = materialize(found.select("i", "j", "f1", "f2", "r"))
     kept = drop_correlated(edges, len(keep))
     names = [keep[r["pos"]] for r in kept.filter("kept").orderBy("pos").collect()]
     if handle_correlated == "drop":

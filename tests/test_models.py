@@ -58,11 +58,6 @@ def test_elastic_net_conditions(spark, data):
     assert (ms[1].coef == 0).sum() > (ms[0].coef == 0).sum() or abs(ms[1].coef).sum() < abs(ms[0].coef).sum()
 
 
-def test_univariate_screen_orders_by_signal(spark, data):
-    out = cox.univariate_screen(data, F3).orderBy("rank").collect()
-    assert [r["feature"] for r in out][2] == "c" and out[0]["lr"] > 50
-
-
 def test_componentwise_rounds_are_nested(spark, data):
     train = data.filter("split = 'train'")
     ten = boosting.fit_componentwise(train, F3, [(3, 0.8), (6, 0.8)])

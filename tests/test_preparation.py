@@ -110,12 +110,14 @@ def test_reader(spark, tmp_path):
 CHAIN = [(i, float(a), float(a + b), float(b + c)) for i, (a, b, c) in enumerate([(0, 1, 5), (1, 0, 2), (2, 3, 0), (3, 2, 4), (4, 5, 1), (5, 4, 3), (6, 2, 2)])]
 
 
-def test_correlated_sweep_and_rounds_agree(spark):
+@pytest.mark.parametrize("block", [1, 2, 4, 1024])
+def test_correlated_sweep_in_blocks(spark, block):
     # 0-1, 1-2, 2-3 chained: dropping 1 keeps 2, which drops 3
     edges = spark.createDataFrame([(1, 0, "f0", "f1", 0.9), (2, 1, "f1", "f2", 0.9), (3, 2, "f2", "f3", 0.9), (5, 4, "f4", "f5", 0.8)], "i int, j int, f1 string, f2 string, r double")
-    sweep = {r["pos"]: r["kept"] for r in unsupervised.drop_correlated(edges, 6).collect()}
-    rounds = {r["pos"]: r["kept"] for r in unsupervised._drop_by_rounds(edges, 6).collect()}
-    assert sweep == rounds == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False}
+    sweep = {r["pos"]: r["kept"] for r in unsupervised.drop_correlated(edges, 6, block).collect()}
+    assert sweep == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False}
+    if block < 1024:
+        return
     groups = unsupervised.correlation_groups(edges, unsupervised.drop_correlated(edges, 6))
     assert {tuple(r) for r in groups.collect()} == {(f"group_f{a}", f"f{b}") for a, b in ((0, 0), (0, 1), (2, 2), (2, 3), (4, 4), (4, 5))}
     # a dropped feature joins the group of every kept earlier neighbour
