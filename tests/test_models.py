@@ -67,31 +67,11 @@ def test_componentwise_rounds_are_nested(spark, data):
 def test_tree_models_find_signal(spark, data):
     train = data.filter("split = 'train'")
     boost = boosting.fit_tree_boost(train, F3, 2, 0.8, 2)
-    rsf = forest.fit_forest(train, F3, n_estimators=4, min_samples_split=40, min_samples_leaf=15, max_features=2, max_depth=3, time_buckets=20)
+    rsf = forest.fit_forest(train, F3, n_estimators=4, min_samples_split=40, min_samples_leaf=15, max_features=2, max_depth=3)
     for m in (boost, rsf):
         assert concordance_index(m.score(data), "os", "os_time", "risk", ["split"]).agg(F.min("cindex")).first()[0] > 0.65
 
 
-def test_log_rank_against_direct_formula():
-    rng = np.random.default_rng(1)
-    b, t, e = rng.integers(0, 4, 200), rng.integers(0, 10, 200), rng.integers(0, 2, 200)
-    t = np.where(b > 1, np.maximum(t - 3, 0), t)
-    m, d = np.zeros((4, 10)), np.zeros((4, 10))
-    np.add.at(m, (b, t), 1)
-    np.add.at(d, (b, t), e)
-    best = []
-    for s in range(3):
-        left, u, v = b <= s, 0.0, 0.0
-        for k in range(10):
-            n, nl = (t >= k).sum(), ((t >= k) & left).sum()
-            dk, dl = (e * (t == k)).sum(), (e * (t == k) * left).sum()
-            u += dl - dk * nl / n if n else 0
-            v += dk * nl / n * (1 - nl / n) * (n - dk) / (n - 1) if n > 1 else 0
-        best.append(abs(u) / v**0.5)
-    score, at = forest.log_rank(m, d, 1)
-    assert at == int(np.argmax(best)) and abs(score - max(best)) < 1e-9
-
-
 def test_grid_search_and_evaluation(spark, data):
     wide = data.select("row_id", "split", "type", "os", "os_time", *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(F3)])
     # shrinkage hardly changes ranks, so only the search's own table tells which penalty wins
