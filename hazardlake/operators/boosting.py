@@ -1,20 +1,15 @@
-"""Gradient boosting of the Cox partial likelihood."""
+"""Componentwise gradient boosting of the Cox partial likelihood; trees are in `treeboost`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardlake.functions.gram import sum_vectors
 from hazardlake.operators.cox import MAX_TIME_CELLS, CoxModel, CoxProblem, check_complete
-from hazardlake.operators.survival import baseline_hazard
-from hazardlake.session import materialize
 
 N_ESTIMATORS = (10, 50, 100)
 LEARNING_RATES = (0.8, 0.9, 1.0)
@@ -64,43 +59,3 @@ def fit_componentwise(
                 beta[j, best] += rate * grad[j, best] / norm[j, best]
     loglik, _ = prob.hazards(beta)
     return [CoxModel(list(features), beta[j, 1:], np.zeros(p), float(loglik[j]), configs[j][0]) for j in range(m)]
-
-
-@dataclass
-class TreeBoost:
-    features: list[str]
-    rate: float
-    trees: list[DecisionTreeRegressionModel]
-
-    def score(self, rows: DataFrame, out: str = "risk") -> DataFrame:
-        """Adds the summed tree predictions; ``rows`` has the array column ``x``."""
-        df = rows.withColumn("_v", array_to_vector("x")).withColumn(out, F.lit(0.0))
-        for t in self.trees:
-            df = t.setFeaturesCol("_v").setPredictionCol("_p").transform(df)
-            df = df.withColumn(out, F.col(out) + F.lit(self.rate) * F.col("_p")).drop("_p")
-        return df.drop("_v")
-
-
-def fit_tree_boost(
-    rows: DataFrame, features: Sequence[str], n_estimators: int = 100, rate: float = 0.8, max_depth: int = 3, seed: int = 0
-) -> TreeBoost:
-    """Regression trees on martingale residuals, added with a learning rate.
-
-    The score of every training row is checkpointed each round, which keeps the
-    plan short and lets a lost executor restart from the last round.
-    """
-    if not 1 <= max_depth <= 30:
-        raise ValueError("trees of this learner have a depth between 1 and 30")
-    check_complete(rows)
-    cur = materialize(rows.select("os", "os_time", array_to_vector("x").alias("_v"), F.lit(0.0).alias("_f")))
-    trees = []
-    for k in range(n_estimators):
-        h0 = baseline_hazard(cur, "os", "os_time", F.col("_f")).withColumnRenamed("time", "os_time")
-        res = materialize(cur.join(h0, "os_time").withColumn("_r", F.col("os") - F.exp("_f") * F.col("hazard")).drop("hazard"))
-        learner = DecisionTreeRegressor(
-            featuresCol="_v", labelCol="_r", predictionCol="_p", maxDepth=int(max_depth), seed=seed + k, maxMemoryInMB=512
-        )
-        tree = learner.fit(res)
-        trees.append(tree)
-        cur = materialize(tree.transform(res).withColumn("_f", F.col("_f") + F.lit(rate) * F.col("_p")).select("os", "os_time", "_v", "_f"))
-    return TreeBoost(list(features), rate, trees)

@@ -52,10 +52,11 @@ class CoxProblem:
     n_features: int
     held_out: Sequence[int] = (-1,)
     max_time_cells: int = MAX_TIME_CELLS
+    extra: Sequence[str] = ()
     times: np.ndarray | None = field(default=None, init=False)
 
     def __post_init__(self):
-        cols = ["os", "os_time", "x"] + (["fold"] if "fold" in self.rows.columns else [])
+        cols = ["os", "os_time", "x", *self.extra] + (["fold"] if "fold" in self.rows.columns else [])
         self.rows = materialize(self.rows.select(*cols).filter("os IS NOT NULL AND os_time IS NOT NULL"))
         self.held_out = np.asarray(self.held_out)
         m = len(self.held_out)
@@ -68,7 +69,7 @@ class CoxProblem:
     def on_driver(self) -> bool:
         return self.times is not None
 
-    def _partial_time_sums(self, beta):
+    def _partial_time_sums(self, eta_of):
         times, held = self.times, self.held_out
 
         def partial(batches):
@@ -76,7 +77,7 @@ class CoxProblem:
             s0, d, lin = np.zeros((len(times), m)), np.zeros((len(times), m)), np.zeros(m)
             for b in batches:
                 x = b["x"]
-                eta, seen = _eta(x, beta), _mask(b, x, held)
+                eta, seen = eta_of(b), _mask(b, x, held)
                 at = np.searchsorted(times, b["os_time"])
                 ev = seen * b["os"][:, None]
                 np.add.at(s0, at, np.exp(eta) * seen)
@@ -87,21 +88,25 @@ class CoxProblem:
         return partial
 
     def hazards(self, beta: np.ndarray):
-        """(log-likelihood per model, H0): H0 as a matrix or as a table."""
+        """`hazards_of` a linear predictor per model."""
+        return self.hazards_of(lambda b: _eta(b["x"], beta))
+
+    def hazards_of(self, eta_of):
+        """(log-likelihood per model, H0): H0 as a matrix or as a table. ``eta_of`` gives rows x models for a batch."""
         m = len(self.held_out)
         if self.on_driver:
             t = len(self.times)
             s0, d, lin = np.zeros((t, m)), np.zeros((t, m)), np.zeros(m)
-            for r in sum_vectors(self.rows, self._partial_time_sums(beta)).collect():  # one vector per model
+            for r in sum_vectors(self.rows, self._partial_time_sums(eta_of)).collect():  # one vector per model
                 v = np.asarray(r["v"])
                 s0[:, r["k"]], d[:, r["k"]], lin[r["k"]] = v[:t], v[t : 2 * t], v[2 * t]
             risk = np.cumsum(s0[::-1], axis=0)[::-1]
             step = np.where(d > 0, d / np.where(d > 0, risk, 1.0), 0.0)
             loglik = lin - np.where(d > 0, d * np.log(np.where(d > 0, risk, 1.0)), 0.0).sum(axis=0)
             return loglik, np.cumsum(step, axis=0)
-        return self._hazard_table(beta)
+        return self._hazard_table(eta_of)
 
-    def _hazard_table(self, beta):
+    def _hazard_table(self, eta_of):
         held = self.held_out
 
         def sums(batches):
@@ -110,7 +115,7 @@ class CoxProblem:
                     continue
                 b = to_numpy(rb)
                 x = b["x"]
-                eta, seen = _eta(x, beta), _mask(b, x, held)
+                eta, seen = eta_of(b), _mask(b, x, held)
                 times, at = np.unique(b["os_time"], return_inverse=True)
                 ev = seen * b["os"][:, None]
                 out = np.zeros((3, len(times), len(held)))

@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardlake.operators import boosting, cohort, cox, forest, importance
+from hazardlake.operators import boosting, cohort, cox, forest, importance, treeboost
 from hazardlake.operators.concordance import concordance_index
 from hazardlake.session import materialize
 
@@ -55,7 +55,7 @@ def fit_model(model: str, rows: DataFrame, features: Sequence[str], config: Mapp
     if model in LINEAR:
         return _fit_linear(model, rows, features, [config], None, options)[0]
     if model == "CPH-GB":
-        return boosting.fit_tree_boost(rows, features, config["n_estimators"], config["learning_rate"], config["max_depth"], **options)
+        return treeboost.fit_tree_boost(rows, features, config["n_estimators"], config["learning_rate"], config["max_depth"], **options)
     if model == "RSF":
         return forest.fit_forest(rows, features, **config, **options)
     raise ValueError(f"unknown survival model: {model}")
@@ -68,36 +68,54 @@ def score_rows(fitted, rows: DataFrame, out: str = "risk") -> DataFrame:
     return fitted.score(rows, out)
 
 
+def _held_out_trees(model: str, rows, features, configs, folds, options) -> tuple[DataFrame, list[Column]]:
+    """Rows with the scores of all tree fits, and the risk of every configuration.
+
+    Configurations that differ in the number of trees only are prefixes of one fit; all fits run together.
+    """
+    keys = ("learning_rate", "max_depth") if model == "CPH-GB" else ("min_samples_split", "min_samples_leaf")
+    if len({c.get("max_features") for c in configs}) > 1:
+        raise ValueError("one max_features per search")
+    kinds = list(dict.fromkeys(tuple(c[k] for k in keys) for c in configs))
+    prefixes = sorted({c["n_estimators"] for c in configs})
+    fits = [(kind, f) for kind in kinds for f in range(folds)]
+    if model == "CPH-GB":
+        fitted = treeboost.fit_families(rows, features, [treeboost.Family(*kind, f) for kind, f in fits], prefixes[-1], **options)
+    else:
+        fitted = forest.fit_forests(
+            rows, features, [forest.Fit(*kind, f) for kind, f in fits], prefixes[-1], configs[0].get("max_features", "sqrt"), **options
+        )
+    scored = fitted.prefix_scores(rows, prefixes, {i: f for i, (_, f) in enumerate(fits)}, "_s")
+    risks = []
+    for c in configs:
+        kind, k = kinds.index(tuple(c[k] for k in keys)), prefixes.index(c["n_estimators"])
+        risks.append(F.get("_s", ((kind * folds + F.col("fold")) * len(prefixes) + k).cast("int")))
+    return scored, risks
+
+
 def grid_search(
     model: str, rows: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence] | None = None, folds: int = 5,
     options: Mapping | None = None,
 ) -> tuple[dict[str, Any], DataFrame]:
     """Best configuration and ``(config, cindex)`` averaged over held-out folds.
 
-    ``rows`` carries ``fold``.  Linear models fit all (configuration, fold) pairs
-    in the same passes; tree models run one fit after another.  All held-out
-    scores go through a single grouped concordance job; the lowest configuration
-    number wins ties.
+    ``rows`` carries ``fold``. All (configuration, fold) pairs are fitted in the same passes, whatever the
+    model, and all held-out scores go through a single grouped concordance
+    job; the lowest configuration number wins ties.
     """
     configs = expand_grid(grid or default_grid(model, len(features)))
-    pairs = [(c, f) for c in range(len(configs)) for f in range(folds)]
     if model in LINEAR:
+        pairs = [(c, f) for c in range(len(configs)) for f in range(folds)]
         fitted = _fit_linear(model, rows, features, [configs[c] for c, _ in pairs], [f for _, f in pairs], dict(options or {}))
         of = dict(zip(pairs, fitted))
-        risks = []
-        for c in range(len(configs)):  # only the model that left the row's fold out is evaluated
-            own = F.coalesce(*[F.when(F.col("fold") == f, of[c, f].eta()) for f in range(folds)])
-            risks.append(F.struct(F.lit(c).alias("config"), own.alias("risk")))
-        scored = rows.select("os", "os_time", "fold", F.explode(F.array(*risks)).alias("s"))
-        scored = scored.select("os", "os_time", "fold", "s.config", "s.risk")
+        # only the model that left the row's fold out is evaluated
+        risks = [F.coalesce(*[F.when(F.col("fold") == f, of[c, f].eta()) for f in range(folds)]) for c in range(len(configs))]
+        scored = rows
     else:
-        scored = None
-        for c, f in pairs:
-            m = fit_model(model, rows.filter(F.col("fold") != f), features, configs[c], options)
-            part = score_rows(m, rows.filter(F.col("fold") == f)).select("os", "os_time", "fold", F.lit(c).alias("config"), "risk")
-            part = materialize(part)
-            scored = part if scored is None else scored.unionByName(part)
-    c = concordance_index(scored, "os", "os_time", "risk", ["config", "fold"])
+        scored, risks = _held_out_trees(model, rows, features, configs, folds, dict(options or {}))
+    exploded = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), r.alias("risk")) for c, r in enumerate(risks)]))
+    scored = scored.select("os", "os_time", "fold", exploded.alias("s")).select("os", "os_time", "fold", "s.config", "s.risk")
+    c = concordance_index(materialize(scored), "os", "os_time", "risk", ["config", "fold"])
     table = materialize(c.groupBy("config").agg(F.avg("cindex").alias("cindex")))
     best = table.orderBy(F.round("cindex", 10).desc_nulls_last(), "config").first()["config"]
     return configs[best], table

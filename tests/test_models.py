@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardlake.operators import boosting, cox, forest, modelling, survival
+from hazardlake.operators import boosting, cox, forest, modelling, survival, treeboost
 from hazardlake.operators.concordance import concordance_index
 from hazardlake.session import materialize
 
@@ -66,7 +66,7 @@ def test_componentwise_rounds_are_nested(spark, data):
 
 def test_tree_models_find_signal(spark, data):
     train = data.filter("split = 'train'")
-    boost = boosting.fit_tree_boost(train, F3, 2, 0.8, 2)
+    boost = treeboost.fit_tree_boost(train, F3, 2, 0.8, 2)
     rsf = forest.fit_forest(train, F3, n_estimators=4, min_samples_split=40, min_samples_leaf=15, max_features=2, max_depth=3)
     for m in (boost, rsf):
         assert concordance_index(m.score(data), "os", "os_time", "risk", ["split"]).agg(F.min("cindex")).first()[0] > 0.65
