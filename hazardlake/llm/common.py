@@ -15,7 +15,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
 
 
-BATCH_ROWS = "1000"  # texts of one Arrow batch; by default there are ten times as many
+# texts and bytes of one Arrow batch; by default there are ten times as many texts, of any length
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -23,13 +24,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Long texts go to Python in small batches while this runs.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = staging_path(spark, name), spark.conf.get(key)
-    spark.conf.set(key, BATCH_ROWS)
+    spark = df.sparkSession
+    path, before = staging_path(spark, name), {key: spark.conf.get(key) for key in BATCH}
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -508,20 +508,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out: list[tuple] = []
             for i in range(b.num_rows):
                 text = raw[off[i] : off[i + 1]]
-                n, runs, kept = len(text), np.zeros((0, 2), np.int64), text.tobytes()
+                n, runs = len(text), np.zeros((0, 2), np.int64)
                 if hit[i]:
                     if spans[i].is_valid:
                         runs = merged(np.frombuffer(spans[i].as_buffer(), np.int32).reshape(-1, 2).astype(np.int64))
                         runs[:, 1] = np.minimum(runs[:, 1], n)
                     else:
                         runs = np.array([[0, n]])
-                    at = np.concatenate([[0], runs.ravel(), [n]])
-                    kept = b"".join(text[x:y].tobytes() for x, y in zip(at[::2], at[1::2]))
-                out.append((n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                at = np.concatenate([[0], runs.ravel(), [n]])
+                stays = [text[x:y] for x, y in zip(at[::2], at[1::2])]
+                digest = hashlib.sha256()
+                for part in stays:
+                    digest.update(part)
+                kept = b"".join(part.tobytes() for part in stays) if keep_text else None
+                out.append((n, n - sum(map(len, stays)), len(runs), digest.hexdigest(), kept))
             cols = list(zip(*out)) or [()] * 5
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
             yield pa.RecordBatch.from_arrays([b.column("doc"), *arrays[: 4 + keep_text]], names=names)
 
-    out = rows.mapInArrow(cut, schema)
+    # written here, where batches are bounded by bytes
+    out = stage(rows.mapInArrow(cut, schema), "removed")
     kind = docs.schema[id_col].dataType
     return out.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind)).withColumnRenamed("doc", id_col)
