@@ -146,9 +146,11 @@ class CoxProblem:
         table = h0.groupBy("time").agg(F.transform(F.sort_array(F.collect_list(F.struct("model", "h_upto"))), lambda s: s["h_upto"]).alias("h0"))
         return loglik, materialize(table)
 
-    def gradients(self, beta: np.ndarray, h0, curvature: str = "full"):
-        """Gradient (m x p) and curvature bound: p x p per model, its diagonal, or none."""
+    def gradients(self, beta: np.ndarray, h0, curvature: str = "full", active: Sequence[np.ndarray] | None = None):
+        """Gradient (m x p) and curvature bound: p x p per model, its diagonal, or (``active``) that of each model's columns."""
         m, p = len(self.held_out), self.n_features
+        if active is not None:
+            return self._active_gradients(beta, h0, active)
         held, times = self.held_out, self.times
         sc = self.rows.sparkSession.sparkContext
         sent = sc.broadcast(h0) if self.on_driver else None
@@ -183,6 +185,33 @@ class CoxProblem:
             sent.destroy()
         return grad, curv
 
+    def _active_gradients(self, beta: np.ndarray, h0, active: Sequence[np.ndarray]):
+        """Gradient over all columns, curvature bound over the active ones of each model only."""
+        m, p, held, times = len(self.held_out), self.n_features, self.held_out, self.times
+        sent = self.rows.sparkSession.sparkContext.broadcast(h0) if self.on_driver else None
+        rows = self.rows if self.on_driver else self.rows.join(h0.withColumnRenamed("time", "os_time"), "os_time")
+
+        def partial(batches):
+            grad, curv = np.zeros((m, p)), [np.zeros((len(c), len(c))) for c in active]
+            for b in batches:
+                x = np.nan_to_num(b["x"], nan=0.0)
+                base = sent.value[np.searchsorted(times, b["os_time"])] if sent is not None else b["h0"]
+                seen = _mask(b, x, held)
+                w = np.exp(_eta(x, beta)) * base * seen
+                grad += (seen * b["os"][:, None] - w).T @ x
+                for j, c in enumerate(active):
+                    part = x[:, c]
+                    curv[j] += part.T @ (part * w[:, j : j + 1])
+            return range(m), [np.concatenate([grad[j], curv[j].ravel()]) for j in range(m)]
+
+        grad, curv = np.zeros((m, p)), [np.zeros((len(c), len(c))) for c in active]
+        for r in sum_vectors(rows, partial).collect():  # one vector per model
+            v, k = np.asarray(r["v"]), r["k"]
+            grad[k], curv[k] = v[:p], v[p:].reshape(curv[k].shape)
+        if sent is not None:
+            sent.destroy()
+        return grad, curv
+
 
 @dataclass
 class CoxModel:
@@ -299,13 +328,18 @@ def fit_elastic_net(
     n_alphas: int = 100,
     inner: int = 3,
     max_time_cells: int = MAX_TIME_CELLS,
+    final: int = 100,
+    tol: float = 1e-9,
 ) -> list[CoxModel]:
     """Minimise -loglik/n + alpha (l1 |b|_1 + (1-l1)/2 |b|^2) down a path of alphas.
 
-    ``configs`` are (l1_ratio, alpha_min_ratio); the path runs from the smallest
-    alpha with b = 0 to alpha_min_ratio times it, warm started, and the model at
-    its end is returned.  All configurations and folds advance together; each
-    path step is ``inner`` pairs of passes at most.
+    ``configs`` are (l1_ratio, alpha_min_ratio); the path runs from the smallest alpha with b = 0 to
+    alpha_min_ratio times it, warm started, and the model at its end is returned. All configurations and
+    folds advance together. A step works on active columns: those in the model and those that the
+    strong rule keeps (|gradient|/n >= l1 (2 alpha - previous alpha)); only their curvature is gathered.
+    Gradients cover all columns, so a column that breaks its optimality condition is found and joins. A
+    step takes ``inner`` rounds at most, the last one goes on (``final``) until coefficients move less than
+    ``tol`` and no condition is broken. ``gradient`` of a model holds the distance of every column from its condition.
     """
     p, m = len(features), len(configs)
     check_complete(rows)
@@ -315,22 +349,36 @@ def fit_elastic_net(
     total = prob.rows.count()
     per_fold = {r["fold"]: r["count"] for r in seen}
     n = np.array([total - per_fold.get(int(f), 0) for f in prob.held_out], dtype=float)
-    l1r = np.array([c[0] for c in configs])
+    l1r, ratios = np.array([c[0] for c in configs]), np.array([c[1] for c in configs])
     beta = np.zeros((m, p))
+    none = [np.zeros(0, np.int64)] * m
     loglik, h0 = prob.hazards(beta)
-    grad, curv = prob.gradients(beta, h0)
+    grad, _ = prob.gradients(beta, h0, active=none)
     top = np.abs(grad).max(axis=1) / n / np.maximum(l1r, 1e-3)
-    ratios = np.array([c[1] for c in configs])
+    before = top
+    active = none
     for step in range(n_alphas):
         alpha = top * ratios ** (step / max(1, n_alphas - 1))
-        for _ in range(inner):
-            new = np.array([_net_step(curv[j], grad[j], beta[j], n[j], alpha[j] * l1r[j], alpha[j] * (1 - l1r[j])) for j in range(m)])
-            change = np.abs(new - beta).max()
+        l1, l2 = alpha * l1r, alpha * (1 - l1r)
+        kept = [np.flatnonzero((np.abs(grad[j]) / n[j] >= l1r[j] * (2 * alpha[j] - before[j])) | (beta[j] != 0)) for j in range(m)]
+        kept = [np.union1d(a, b) for a, b in zip(active, kept)]
+        for _ in range(inner if step + 1 < n_alphas else final):
+            if any(len(a) != len(b) for a, b in zip(active, kept)) or step == 0:
+                active = kept
+                grad, curv = prob.gradients(beta, h0, active=active)
+            new = beta.copy()
+            for j, c in enumerate(active):
+                if len(c):
+                    new[j, c] = _net_step(curv[j], grad[j, c], beta[j, c], n[j], l1[j], l2[j])
+            change = np.abs(new - beta).max() if m else 0.0
             beta = new
-            if change < 1e-9:
-                break
             loglik, h0 = prob.hazards(beta)
-            grad, curv = prob.gradients(beta, h0)
+            grad, curv = prob.gradients(beta, h0, active=active)
+            broken = [np.flatnonzero((np.abs(grad[j]) / n[j] > l1[j] * (1 + 1e-9)) & (beta[j] == 0)) for j in range(m)]
+            kept = [np.union1d(a, b).astype(np.int64) for a, b in zip(active, broken)]
+            if change < tol and all(len(a) == len(b) for a, b in zip(active, kept)):
+                break
+        before = alpha
     alpha = top * ratios
     # distance from the optimality conditions, 0 at the solution
     slack = grad / n[:, None] - (alpha * (1 - l1r))[:, None] * beta

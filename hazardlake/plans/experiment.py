@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.operators import cohort, ensemble, modelling, preprocess, schema, stability, unsupervised
 from hazardlake.session import materialize
-from hazardlake.sources import tables
+from hazardlake.sources import sinks, tables
 
 FUSIONS = ("early", "intermediate", "late")
 
@@ -182,35 +183,73 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
-def run_experiment(df: DataFrame, o: Options) -> dict[str, DataFrame]:
+def _fingerprint(o: Options) -> str:
+    """What a stored step depends on, beside its types, subset and seed."""
+    skip = {"types", "subsets", "seeds", "num_runs", "cohorts", "fusion_threshold"}
+    return hashlib.md5(repr(sorted((k, v) for k, v in vars(o).items() if k not in skip)).encode()).hexdigest()[:12]
+
+
+def _prepared(df: DataFrame, o: Options, subset: Sequence[str], seed) -> dict[str, DataFrame]:
+    """`prepare` as tables: wide rows, and the features of every modality in order."""
+    wide, by_mod = prepare(df, o, subset, seed)
+    rows = [(i, m, k, f) for i, (m, fs) in enumerate(by_mod.items()) for k, f in enumerate(fs)]
+    rows += [(i, m, -1, None) for i, m in enumerate(by_mod)]  # a modality may have lost all its features
+    return {"wide": wide, "features": df.sparkSession.createDataFrame(rows, "part int, modality string, pos int, feature string")}
+
+
+def _modelled(part: DataFrame, feats: Sequence[str], o: Options, seed) -> dict[str, DataFrame]:
+    """Predictions, C-indices and importances of all models of one modality as tables."""
+    pool = modelling.model_pool(part, feats, o.models, o.grids, o.model_options, folds=o.folds, importances=o.importances, seed=seed)
+    perf = [(s, t.model, c) for t in pool for s, c in sorted(t.cindex.items())]
+    out = {
+        "predictions": _union([t.predictions.select("split", "row_id", "model", "type", "os", "os_time", "risk") for t in pool]),
+        "performance": part.sparkSession.createDataFrame(perf, "split string, model string, cindex double"),
+    }
+    imps = [t.importances for t in pool if t.importances is not None]
+    return out | ({"importances": _union(imps)} if imps else {})
+
+
+def run_experiment(df: DataFrame, o: Options, store: str | None = None) -> dict[str, DataFrame]:
     """All groups of types x modality subsets x runs.
 
     Result tables: ``predictions``, ``selected``, ``performance``, ``ensemble``,
     ``importances`` and, for late fusion, ``fusion`` and ``fusion_summary``.  The
     driver loops over fits; every table stays distributed.
+
+    With a ``store`` (a shared folder) every step (types, subset, run, preparation or models of a modality) is
+    written when it ends. A later call with the same options reads the finished steps and does the others,
+    among them any that was cut off.
     """
     if o.fusion not in FUSIONS:
         raise ValueError(f"unknown fusion: {o.fusion}")
     spark = df.sparkSession
+    kept = sinks.Store(spark, store) if store else None
     seeds = list(o.seeds or [r["seed"] for r in tables.draw_seeds(spark, o.num_runs, o.master_seed).orderBy("run").collect()])
     preds, selected, imps, perf = [], [], [], []
     for types, subset in itertools.product(o.types, o.subsets):
         data = materialize(cohort.filter_types(df, types, o.type_col))
         tag = {"types": "_".join(types), "subset": "_".join(subset)}
         for run, seed in enumerate(seeds, start=1):
-            wide, by_mod = prepare(data, o, subset, seed)
+            name = "/".join([_fingerprint(o), tag["types"], tag["subset"], str(run), str(seed)])
+            step = (lambda key, compute: kept.step(f"{name}/{key}", compute)) if kept else (lambda key, compute: compute())
+            ready = step("prepared", lambda: _prepared(data, o, subset, seed))
+            by_mod: dict[str, list[str]] = {}
+            for r in ready["features"].orderBy("part", "pos").collect():  # one row per feature
+                by_mod.setdefault(r["modality"], [])
+                by_mod[r["modality"]] += [r["feature"]] if r["feature"] is not None else []
             parts = by_mod if o.fusion == "late" else {"_".join(subset): [f for fs in by_mod.values() for f in fs]}
             selected += [(tag["types"], tag["subset"], run, m, f, k) for m, fs in by_mod.items() for k, f in enumerate(fs, start=1)]
             for modality, feats in parts.items():
                 if not feats:
                     continue
-                part = schema.modality_slice(wide, {modality: feats}, modality, KEEP)
-                for t in modelling.model_pool(part, feats, o.models, o.grids, o.model_options, folds=o.folds, importances=o.importances, seed=seed):
-                    mark = [F.lit(tag["types"]).alias("types"), F.lit(tag["subset"]).alias("subset"), F.lit(run).alias("run")]
-                    preds.append(t.predictions.select(*mark, "split", "row_id", "model", F.lit(modality).alias("modality"), "type", "os", "os_time", "risk"))
-                    perf += [(tag["types"], tag["subset"], run, s, t.model, modality, c) for s, c in sorted(t.cindex.items())]
-                    if t.importances is not None:
-                        imps.append(t.importances.select(*mark, F.lit(modality).alias("modality"), "*"))
+                part = schema.modality_slice(ready["wide"], {modality: feats}, modality, KEEP)
+                done = step(f"models/{modality}", lambda: _modelled(part, feats, o, seed))
+                mark = [F.lit(tag["types"]).alias("types"), F.lit(tag["subset"]).alias("subset"), F.lit(run).alias("run")]
+                preds.append(done["predictions"].select(*mark, "split", "row_id", "model", F.lit(modality).alias("modality"), "type", "os", "os_time", "risk"))
+                # one row per model and split
+                perf += [(tag["types"], tag["subset"], run, r["split"], r["model"], modality, r["cindex"]) for r in done["performance"].collect()]
+                if "importances" in done:
+                    imps.append(done["importances"].select(*mark, F.lit(modality).alias("modality"), "*"))
     pred = _union(preds)
     out = {
         "predictions": pred,

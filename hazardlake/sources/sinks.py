@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,18 +55,66 @@ def run_seeds(spark: SparkSession, path: str, num_runs: int, master=0) -> DataFr
     return spark.read.parquet(path)
 
 
+class Store:
+    """Tables of finished steps under one folder.
+
+    A step writes its tables to a folder of its own attempt, and one manifest row (key, attempt, tables) last. A
+    step counts as finished only through that row, so one that was cut off in its middle, or in the middle
+    of its writing, is done again and its leftovers are never read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def finished(self) -> dict[str, tuple[str, list[str]]]:
+        """key -> (attempt, tables), one row per step; of two attempts at one step the same is taken by every reader."""
+        rows = read_if_present(self.spark, f"{self.path}/manifest")
+        if rows is None:
+            return {}
+        first = rows.groupBy("key").agg(F.min(F.struct("attempt", "tables")).alias("m"))
+        return {r["key"]: (r["m"]["attempt"], list(r["m"]["tables"])) for r in first.collect()}
+
+    def get(self, key: str, done: dict | None = None) -> dict[str, DataFrame] | None:
+        """Tables of a finished step, or None."""
+        found = (self.finished() if done is None else done).get(key)
+        if found is None:
+            return None
+        attempt, names = found
+        return {n: self.spark.read.parquet(f"{self.path}/data/{attempt}/{n}") for n in names}
+
+    def put(self, key: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write the tables of a step, then its manifest row; returns them as stored."""
+        attempt = uuid.uuid4().hex
+        for name, df in tables.items():
+            df.write.parquet(f"{self.path}/data/{attempt}/{name}")
+        row = self.spark.createDataFrame([(key, attempt, sorted(tables))], "key string, attempt string, tables array<string>")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        return self.get(key, {key: (attempt, sorted(tables))})
+
+    def step(self, key: str, compute: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        """Stored tables of a step, computed if it is not finished."""
+        found = self.get(key)
+        return self.put(key, compute()) if found is None else found
+
+
 def checkpoint_runs(
     spark: SparkSession, path: str, runs: DataFrame, compute: Callable[[DataFrame], DataFrame], archive: str | None = None
 ) -> DataFrame:
-    """Results per run, computing only the runs that are not stored yet.
+    """Results per run, computing only the runs that are not finished yet.
 
     ``runs`` holds ``run`` (and what ``compute`` needs); ``archive`` names the
-    stored result of another experiment to take instead of computing.
+    stored result of another experiment to take instead of computing. Runs that are computed together
+    are finished together, with the manifest row of `Store`.
     """
-    if archive is not None:
-        return spark.read.parquet(archive)
-    done = read_if_present(spark, path)
-    todo = runs if done is None else runs.join(done.select("run").distinct(), "run", "left_anti")
-    if not todo.isEmpty():
-        compute(todo).write.mode("append").partitionBy("run").parquet(path)
-    return spark.read.parquet(path)
+    store = Store(spark, path if archive is None else archive)
+    if archive is None:
+        done = {int(r) for key in store.finished() for r in key.split(",")}
+        todo = runs.filter(~F.col("run").isin(sorted(done))) if done else runs
+        wanted = sorted(r["run"] for r in todo.select("run").distinct().collect())  # one number per run
+        if wanted:
+            store.put(",".join(map(str, wanted)), {"result": compute(todo)})
+    finished = store.finished()
+    parts = [store.get(key, finished)["result"] for key in sorted(finished)]
+    if not parts:
+        raise ValueError(f"no finished run under {store.path}")
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)

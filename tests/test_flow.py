@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from checks import compare
 from checks.flow import small
 from hazardlake import fixtures as X
+from hazardlake.operators import modelling
+from hazardlake.plans import experiment
 from hazardlake.plans.experiment import run_experiment
 from hazardlake.session import materialize
 from hazardlake.sources import sinks, tables
@@ -46,6 +48,55 @@ def test_stored_runs_are_not_computed_again(spark, tmp_path):
     assert other.count() == 3 and seen == [1, 2, 3]
 
 
+def test_runs_cut_off_while_writing_are_done_again(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    runs = spark.createDataFrame([(1,)], "run int")
+
+    def broken(todo):
+        return todo.withColumn("v", F.raise_error(F.lit("executor lost")).cast("int"))
+
+    with pytest.raises(Exception, match="executor lost"):
+        sinks.checkpoint_runs(spark, path, runs, broken)
+    # tables of an attempt without a manifest row
+    runs.withColumn("v", F.lit(-1)).write.parquet(f"{path}/data/halfway/result")
+    got = sinks.checkpoint_runs(spark, path, runs, lambda todo: todo.withColumn("v", F.lit(7)))
+    assert [tuple(r) for r in got.collect()] == [(1, 7)]
+
+
+def test_experiment_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    options = small("early", models=["CPH-L2"], seeds=[7, 8], n_bootstraps=0, selection="none", subsets=[["MUTATION"]])
+    data, store, calls = X.surv(spark, SF), str(tmp_path / "store"), []
+    prepare, pool = experiment.prepare, modelling.model_pool
+
+    def counted(df, o, subset, seed):
+        calls.append(("prepare", seed))
+        return prepare(df, o, subset, seed)
+
+    def stopping(part, feats, *args, **kw):
+        calls.append(("models", kw["seed"]))
+        if stop and kw["seed"] == 8:
+            raise KeyboardInterrupt
+        return pool(part, feats, *args, **kw)
+
+    monkeypatch.setattr(experiment, "prepare", counted)
+    monkeypatch.setattr(modelling, "model_pool", stopping)
+    stop = True
+    with pytest.raises(KeyboardInterrupt):
+        experiment.run_experiment(data, options, store)
+    assert calls == [("prepare", 7), ("models", 7), ("prepare", 8), ("models", 8)]
+    stop, _ = False, calls.clear()
+    resumed = experiment.run_experiment(data, options, store)
+    assert calls == [("models", 8)]
+    plain = experiment.run_experiment(data, options)
+    for name in ("performance", "selected", "predictions"):
+        a, b = (sorted(map(str, t[name].collect())) for t in (resumed, plain))
+        assert a == b, name
+    calls.clear()
+    other = small("early", models=["CPH-L2"], seeds=[7], n_bootstraps=0, selection="none", subsets=[["MUTATION"]], fraction=0.7)
+    experiment.run_experiment(data, other, store)
+    assert calls == [("prepare", 7), ("models", 7)]  # other options, other steps
+
+
 def test_seeds_are_kept(spark, tmp_path):
     a = [r["seed"] for r in sinks.run_seeds(spark, str(tmp_path / "s"), 4, 1).orderBy("run").collect()]
     b = [r["seed"] for r in sinks.run_seeds(spark, str(tmp_path / "s"), 4, 2).orderBy("run").collect()]
