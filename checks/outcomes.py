@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import sqltext as S
 from checks.queries import TRAIN, q, r6, train_part
 from hazardlake import fixtures as X
-from hazardlake.operators import concordance, ensemble, importance, survival
+from hazardlake.operators import concordance, curves, ensemble, importance, survival
 from hazardlake.session import materialize
 
 SURV = S.with_(S.SURV)
@@ -112,6 +112,21 @@ def concordance_td(spark, sf):
     return c.select("concordant", "tied", "comparable")
 
 
+@q("concordance_td_curves", S.with_(S.SURV,
+   "cv AS (SELECT row_id, type, os, os_time, 50.0*(1 + row_id % 5) AS step, 6 + row_id % 3 AS most, 0.5 + totalprice_exp/2e5 AS h FROM surv)",
+   # the last point of the own grid at or before the time; 1 before the first one
+   """pr AS (SELECT a.type, least(floor(a.os_time/a.step), a.most)*a.step AS ti, a.h AS hi, least(floor(a.os_time/b.step), b.most)*b.step AS tj, b.h AS hj
+     FROM cv a JOIN cv b ON a.type = b.type AND a.os=1 AND (a.os_time < b.os_time OR (a.os_time = b.os_time AND b.os=0)))""",
+   "va AS (SELECT type, CASE WHEN ti = 0 THEN 1 ELSE round(exp(-ti/1000*hi), 6) END AS si, CASE WHEN tj = 0 THEN 1 ELSE round(exp(-tj/1000*hj), 6) END AS sj FROM pr)")
+   + "SELECT type, count(*) FILTER (si < sj) AS concordant, count(*) FILTER (si = sj) AS tied, count(*) AS comparable FROM va GROUP BY type")
+def concordance_td_curves(spark, sf):
+    s = X.surv(spark, sf)
+    step, most = 50.0 * (1 + F.pmod("row_id", F.lit(5))), (6 + F.pmod("row_id", F.lit(3))).cast("int")
+    grid = s.select("type", "row_id", (0.5 + F.col("totalprice_exp") / 2e5).alias("h"), F.explode(F.transform(F.sequence(F.lit(1), most), lambda k: k * step)).alias("time"))
+    points = grid.select("type", "row_id", "time", F.round(F.exp(-F.col("time") / 1000 * F.col("h")), 6).alias("survival"))
+    return curves.concordance_curves(s, points, ["type"]).select("type", "concordant", "tied", "comparable")
+
+
 @q("permutation_importance", S.with_(S.SURV, "b0 AS (SELECT row_id, os, os_time, totalprice_exp AS a, acctbal_clin AS b, -totalprice_exp/1e6 + acctbal_clin/2e4 AS risk FROM surv)",
    cidx_cte("base", "b0", []), "lg AS (SELECT row_id, os, os_time, risk, unnest(['totalprice_exp','acctbal_clin']) AS feature, unnest([a, b]) AS own, unnest([-1/1e6, 1/2e4]) AS coef FROM b0)",
    "it AS (SELECT lg.*, iter FROM lg, (SELECT unnest(range(0,3)) AS iter))",
