@@ -160,6 +160,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in which a language was found, with all their columns."""
+    """The rows of ``docs`` in which a language was found, with all their columns.
+
+    Without any label to learn from, all rows whose text has a letter stay.
+    """
     model = train(docs.filter(~held_out(F.col(id_col))), F.col(text_col), F.col(lang_col))
+    if not model.languages:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     return predict(docs, model, text_col, "_lid_pred", "_lid_score").filter("_lid_pred <> 'und'").select(*docs.columns)

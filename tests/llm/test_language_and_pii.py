@@ -46,7 +46,11 @@ def test_held_out_labels_do_not_matter(spark):
 
 
 def test_without_labels_or_rows(spark):
-    assert {r.lang_pred for r in language.identify(table(spark, ODD, [None] * len(ODD))).collect()} == {"und"}
+    unlabelled = table(spark, ODD, [None] * len(ODD))
+    assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
+    # nothing to learn from: texts with letters stay
+    assert language.keep_identified(unlabelled).exceptAll(unlabelled).isEmpty()
+    assert {r.doc_id for r in unlabelled.exceptAll(language.keep_identified(unlabelled)).collect()} == {3, 4, 5, 15}
     assert language.identify(table(spark).limit(0)).count() == 0
     docs = table(spark)
     kept = language.keep_identified(docs)
