@@ -17,7 +17,9 @@ of identifiers, so reruns agree whatever the partitioning.
 Positions in a source are counted in two levels (hash ranges, then inside a
 range), so a source with a third of all rows is spread over many tasks. What
 grows with sources and shards only (targets, quotas) is one row per source, or
-one array over sources per tree node.
+one array over sources per tree node. Draws find their shards by the stretch of
+indices they lie in, and are written with shard and position before anything
+else reads them.
 
 Cases: null text has size 0 and is never drawn; rows without source form one
 source, which comes last; rows that repeat an id are separate documents; an
@@ -26,7 +28,6 @@ empty table gives empty results; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -37,7 +38,7 @@ from hazardlake.functions.ordered import running_totals
 from hazardlake.llm.common import NON_SPACES, join_same, power_of_two, stage
 
 RANGES = 4096
-SMALL = 64  # an urn with fewer draws is emptied draw by draw, a larger one by its normal limit
+STRETCH = 4096  # draws of a source that find their shards together
 
 
 class Mix(NamedTuple):
@@ -52,22 +53,36 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, *key: Column | str) -> Column:
-    """How many of ``drawn`` items out of ``total`` are among the ``marked`` ones."""
+    """How many of ``drawn`` items out of ``total`` are among the ``marked`` ones, by inversion.
+
+    Weights follow from their neighbours by the ratio of two probabilities. All counts within 12 standard deviations
+    plus 40 of the mode take part; what lies beyond weighs less than the step of the uniform number.
+    """
+    long = lambda c: c.cast("bigint")
     low = F.greatest(F.lit(0).cast("bigint"), drawn - (total - marked))
     high = F.least(drawn, marked)
-    # by symmetry the smaller of the two sets is drawn from the urn
-    few, many = F.least(drawn, marked), F.greatest(drawn, marked)
-    urn = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), F.greatest(F.least(few, F.lit(SMALL)), F.lit(1)).cast("bigint")),
-        F.lit(0).cast("bigint"),
-        lambda hit, i: hit
-        + F.when((i <= few) & (uniform(*key, i) * (total - i + 1) < (many - hit)), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-    )
     share = marked / F.greatest(total, F.lit(1))
     spread = F.sqrt(F.greatest(drawn * share * (1 - share) * (total - drawn) / F.greatest(total - 1, F.lit(1)), F.lit(0.0)))
-    normal = F.sqrt(-2 * F.log(uniform(*key, "r"))) * F.cos(2 * math.pi * uniform(*key, "a"))
-    limit = F.round(drawn * share + spread * normal).cast("bigint")
-    return F.greatest(low, F.least(high, F.when(few <= SMALL, urn).otherwise(limit)))
+    mode = F.greatest(low, F.least(high, long(F.floor((drawn + 1.0) * (marked + 1.0) / (total + 2.0)))))
+    reach = long(F.ceil(spread * 12)) + 40
+    first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
+    steps = F.sequence(first, F.greatest(first, last))
+    ratio = lambda i: (marked - i).cast("double") * (drawn - i) / ((i + 1.0) * (total - marked - drawn + i + 1.0))
+    one = F.lit(1.0)
+    weighed = lambda acc, i: F.struct((acc["w"] * ratio(i)).alias("w"), (acc["sum"] + acc["w"]).alias("sum"))
+    mass = F.aggregate(steps, F.struct(one.alias("w"), F.lit(0.0).alias("sum")), weighed)["sum"]
+    start = F.struct(one.alias("w"), (uniform(*key) * mass).alias("left"), first.alias("k"))
+
+    def walk(acc, i):
+        left = acc["left"] - acc["w"]
+        on = (left > 0) & (i < last)
+        return F.struct(
+            F.when(acc["left"] > 0, acc["w"] * ratio(i)).otherwise(0.0).alias("w"),
+            F.when(on, left).otherwise(F.lit(-1.0)).alias("left"),
+            F.when(on & (acc["left"] > 0), i + 1).otherwise(acc["k"]).alias("k"),
+        )
+
+    return F.aggregate(steps, start, walk)["k"]
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], budget_ratio: float, max_repeats: int) -> DataFrame:
@@ -97,7 +112,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget_ratio: float, max
 
 
 def quotas(counts: DataFrame, n_shards: int, total: int, seed: str) -> DataFrame:
-    """source, bounds: how many draws of the source go to the shards up to each one."""
+    """source, shard, from, to: the draws of the source, by their index, that every shard gets."""
     rows = counts.select(F.lit(0).alias("node"), "source", F.col("_draws").alias("k"))
     width = n_shards
     while width > 1:
@@ -126,8 +141,24 @@ def quotas(counts: DataFrame, n_shards: int, total: int, seed: str) -> DataFrame
         rows = split.select((F.col("node") * 2 + F.col("side")).alias("node"), "source", part.alias("k"))
         width = half
     upto = F.sum("k").over(Window.partitionBy("source").orderBy("node"))
-    listed = rows.withColumn("upto", upto).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("node", "upto"))).alias("b"))
-    return listed.select("source", F.col("b.upto").alias("bounds"))
+    rows = rows.filter("k > 0").withColumn("to", upto)
+    return rows.select("source", F.col("node").cast("int").alias("shard"), (F.col("to") - F.col("k")).alias("from"), "to")
+
+
+def shards_of(drawn: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The draws with the shard whose interval holds their index.
+
+    Both sides are cut into stretches of indices; inside a stretch a draw takes the last interval that begins before it,
+    so no draw meets more than one interval and no row carries the bounds of all shards.
+    """
+    whole = lambda c: F.floor(c / STRETCH).cast("bigint")
+    begins = dealt.select("*", F.explode(F.sequence(whole(F.col("from")), whole(F.col("to") - 1))).alias("_stretch"))
+    at = F.greatest(F.col("from"), F.col("_stretch") * STRETCH)
+    begins = begins.select("source", "_stretch", at.alias("_index"), F.lit(0).alias("_side"), "shard")
+    asks = drawn.withColumns({"_stretch": whole(F.col("_index")), "_side": F.lit(1)})
+    order = Window.partitionBy("source", "_stretch").orderBy("_index", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = asks.unionByName(begins, allowMissingColumns=True)
+    return both.withColumn("shard", F.last("shard", ignorenulls=True).over(order)).filter("_side = 1").drop("_stretch", "_side")
 
 
 def mix_sources(
@@ -148,9 +179,11 @@ def mix_sources(
     about ``shard_draws`` blocks, so the number of shards follows the data.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(NON_SPACES)), F.lit(0)).cast("bigint")
-    sizes = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    numbered = F.row_number().over(Window.partitionBy("_id").orderBy("source", "size"))
-    sizes = stage(sizes.withColumn("_row", numbered), "sizes")
+    # rows without id are spread by their texts; the group is part of their number
+    spread = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(RANGES))).otherwise(F.lit(0))
+    sizes = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), spread.alias("_spread"))
+    numbered = F.row_number().over(Window.partitionBy("_id", "_spread").orderBy("source", "size"))
+    sizes = stage(sizes.withColumn("_row", numbered * RANGES + F.col("_spread")).drop("_spread"), "sizes")
     goal = stage(targets(sizes, weights, budget_ratio, max_repeats), "targets")
     known = join_same(sizes, goal, ["source"])
 
@@ -195,22 +228,26 @@ def mix_sources(
     counts = stage(drawn.groupBy("source").agg(F.count(F.lit(1)).alias("_draws")), "draw-counts")
     total = counts.agg(F.sum("_draws")).first()[0] or 0
     n_shards = power_of_two(-(-total // shard_draws)) if total else 1
-    dealt = join_same(drawn, quotas(counts, n_shards, total, seed), ["source"])
-    # bounds hold the last index of every shard, so this finds the first one beyond the draw
-    shard = F.aggregate(
-        F.array(*[F.lit(1 << k) for k in range(n_shards.bit_length() - 1, -1, -1)]),
-        F.lit(0),
-        lambda acc, s: F.when(F.get("bounds", acc + s - 1) <= F.col("_index"), acc + s).otherwise(acc),
-    )
-    dealt = dealt.withColumn("shard", shard).drop("bounds")
+    # written first: a tree of many levels would be computed again by every reader
+    dealt = shards_of(drawn, stage(quotas(counts, n_shards, total, seed), "quotas"))
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "source", "_index"), "source", "_index")
     draws = dealt.withColumn("position", F.row_number().over(order)).select(
         "shard", "position", F.col("_id").alias(id_col), "_row", "source", "epoch", "start_word", "n_words"
     )
-    return Mix(known.select(F.col("_id").alias(id_col), "_row", "source", "size", "source_size", "target"), draws)
+    documents = known.select(F.col("_id").alias(id_col), "_row", "source", "size", "source_size", "target")
+    return Mix(documents, stage(draws, "shards"))
 
 
 def taken(mix: Mix, id_col: str = "doc_id") -> DataFrame:
-    """The documents with the number of words the mix takes from each."""
-    words = mix.draws.groupBy(id_col, "_row").agg(F.sum("n_words").alias("taken"))
-    return join_same(mix.documents, words, [id_col, "_row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
+    """The documents with the words the mix takes from each, the draws and shards these come in, and a digest of their places."""
+    place = F.format_string("%d:%d", "shard", "position")
+    words = mix.draws.groupBy(id_col, "_row").agg(
+        F.sum("n_words").alias("taken"),
+        F.count(F.lit(1)).alias("n_draws"),
+        F.count_distinct("shard").alias("n_shards"),
+        # a document has at most max_repeats draws for every block of its own text
+        F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(place))), 256).alias("places_sha256"),
+    )
+    zero = F.lit(0).cast("bigint")
+    out = join_same(mix.documents, words, [id_col, "_row"], "left")
+    return out.withColumns({c: F.coalesce(c, zero) for c in ("taken", "n_draws", "n_shards")})

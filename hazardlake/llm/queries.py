@@ -48,7 +48,7 @@ def op6_chat_windows(spark, sf_dir):
 
 def op7_mix_sources(spark, sf_dir):
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixing.taken(mix).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(mix).select("doc_id", "size", "source_size", "target", "taken", "n_draws", "n_shards", "places_sha256")
 
 
 # fixed values: the rules of the contract

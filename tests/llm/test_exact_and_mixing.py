@@ -119,3 +119,39 @@ def test_hypergeometric_keeps_mean_and_spread(spark):
         assert abs(row[0] - m * k / n) < 5 * (var / 4000) ** 0.5
         assert 0.85 < row[1] / var < 1.15
         assert row[2] >= 0 and row[3] <= min(k, m)
+
+
+def test_hypergeometric_counts_follow_their_probabilities(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    c = lambda v: F.lit(v).cast("bigint")
+    for n, k, m in ((12, 5, 6), (40, 33, 30), (7, 7, 3), (9, 0, 4)):
+        got = dict(spark.range(20000).select(mixing.hypergeometric(c(n), c(k), c(m), "p", F.col("id")).alias("x")).groupBy("x").count().collect())
+        want = {i: comb(k, i) * comb(n - k, m - i) / comb(n, m) for i in range(max(0, m - n + k), min(k, m) + 1)}
+        assert set(got) <= set(want)
+        for i, p in want.items():
+            assert abs(got.get(i, 0) - 20000 * p) <= 5 * (20000 * p * (1 - p)) ** 0.5 + 1e-9
+    # an urn of a billion draws goes the same way
+    n, k, m = 10**9, 3 * 10**8, 5 * 10**8
+    row = spark.range(40).repartition(8).select(mixing.hypergeometric(c(n), c(k), c(m), "q", F.col("id")).alias("x")).agg(F.avg("x"), F.stddev("x")).first()
+    spread = (m * k / n * (1 - k / n) * (n - m) / (n - 1)) ** 0.5
+    assert abs(row[0] - m * k / n) < 5 * spread / 40**0.5 and 0.5 < row[1] / spread < 1.5
+
+
+def test_words_taken_come_with_their_places(spark):
+    import hashlib
+
+    rows = [(i if i % 5 else None, " ".join(["w"] * (20 + i % 9))) for i in range(120)]
+    mix = mixing.mix_sources(table(spark, rows, sources=[f"s{i % 3}" for i in range(120)]), block_words=8, shard_draws=32)
+    places = {}
+    for d in mix.draws.collect():
+        places.setdefault((d.doc_id, d._row), []).append((d.shard, d.position, d.n_words))
+    found = mixing.taken(mix).collect()
+    assert len({(r.doc_id, r._row) for r in found}) == 120
+    for r in found:
+        mine = places.get((r.doc_id, r._row), [])
+        assert r.taken == sum(x[2] for x in mine) and r.n_draws == len(mine) and r.n_shards == len({x[0] for x in mine})
+        text = ",".join(sorted(f"{a}:{b}" for a, b, _ in mine))
+        assert r.places_sha256 == (hashlib.sha256(text.encode()).hexdigest() if mine else None)
