@@ -123,3 +123,18 @@ def test_field_learns_its_table_and_leaves_prose_alone(spark):
 
 def test_no_documents(spark):
     assert pii.find_personal_data(table(spark).limit(0)).count() == 0
+
+
+def test_patterns_of_addresses_are_linear_and_equal():
+    import random
+    import re
+    import time
+
+    contract = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    draw = random.Random(5)
+    for _ in range(3000):
+        text = "".join(draw.choice("1234..  .x٣") for _ in range(draw.randrange(40)))
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in contract.finditer(text)]
+    began = time.time()
+    assert not list(pii.IP.finditer("7" * 1_000_000)) and len(list(pii.IP.finditer("1." * 500_000))) == 125_000
+    assert time.time() - began < 5
