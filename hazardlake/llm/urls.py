@@ -81,7 +81,9 @@ def judge_urls(
     spark = pages.sparkSession
     rules = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    urls = pages.select(F.col(url_col).alias("url")).distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    # a null url has an empty host and path, like an empty one
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    urls = pages.select(url.alias("url")).distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     # lengths of paths: no more values than characters in the longest path
     lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().collect()]
     sent = spark.sparkContext.broadcast(build_filter(rules, filter_bytes))
@@ -102,7 +104,7 @@ def judge_urls(
     hits = passed.join(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict"), ["rule_host", "rule_path"])
     name = F.concat("rule_host", "rule_path")
     best = hits.groupBy("url").agg(F.min(F.struct((-F.length(name)).alias("n"), "rule_host", "rule_path", name.alias("rule"), "verdict")).alias("best"))
-    out = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url")).join(best, "url", "left")
+    out = pages.select(F.col(id_col).alias("_id"), url.alias("url")).join(best, "url", "left")
     return out.select(
         F.col("_id").alias(id_col),
         host_of(F.col("url")).alias("host"),

@@ -116,6 +116,9 @@ def test_url_rules(spark):
     assert hosts[3] == ("a.example.com", "/de/x") and hosts[9] == ("", "") and hosts[11] == ("a.net", "")
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urls.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    # an empty host fits urls without one, null among them
+    empty = spark.createDataFrame([(None, "", "block")], "host string, path string, verdict string")
+    assert {r.page_id for r in urls.judge_urls(pages, empty).collect() if r.verdict == "block"} == {9, 10}
 
 
 def test_full_filter_stays_right(spark):
