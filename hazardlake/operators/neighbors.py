@@ -2,8 +2,7 @@
 
 Points ``(g, id, v array<double>)``: ``g`` names an independent estimation
 problem, such as a feature.  Each problem is cut into tiles of about ``TILE``
-points (exact quantiles of the first axis, then of the second inside each
-strip).  A query first meets its home tile, which bounds its radius, and then
+points (by values of the first axis, then of the second inside each strip).  A query first meets its home tile, which bounds its radius, and then
 only the tiles that its ball touches, so no task compares a whole problem with
 itself and the result is exact.
 """
@@ -15,16 +14,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardlake.functions.ordered import count_at_most, exact_quantiles, hash_int
+from hazardlake.functions.ordered import count_at_most, hash_int
 from hazardlake.session import materialize
 
 TILE = 4096
-MAX_BOXES = 2_000_000
 NOISE = 1e-10  # breaks ties, as is usual for these estimators
-_SUB = 1024
+_SUB = 1 << 31  # most tiles of one strip
+_OVER = 4  # candidates per edge
 
 
 def jitter(value: Column, id_col: str, axis: int) -> Column:
@@ -46,46 +45,42 @@ def digamma_int(n: Column) -> Column:
 
 
 class Tiles:
-    """Points cut into tiles; tile boxes on the driver (checked against MAX_BOXES)."""
+    """Points cut into tiles of about ``tile`` points; edges, boxes and counts of tiles are tables.
+
+    Edges are every fourth of a hash-chosen part of a problem's own values, so a problem may have any number of tiles.
+    """
 
     def __init__(self, points: DataFrame, tile: int = TILE):
         biggest = points.groupBy("g").count().agg(F.max("count")).first()[0] or 0
         self.dim = points.select(F.size("v")).first()[0] if biggest else 1
-        parts = max(1, -(-biggest // tile))
-        self.strips = parts if self.dim == 1 else math.ceil(math.sqrt(parts))
-        self.subs = 1 if self.dim == 1 else self.strips
-        if max(self.strips, self.subs) >= _SUB:
-            raise ValueError("too many tiles; raise the tile size")
-        self.e1 = self._edges(points.select("g", F.get("v", F.lit(0)).alias("a")), ["g"], self.strips)
+        strips = max(1, -(-biggest // tile))
+        strip = tile if self.dim == 1 else max(tile, biggest // math.ceil(math.sqrt(strips)))
+        self.e1 = self._edges(points.select("g", "id", F.get("v", F.lit(0)).alias("a")), ["g"], strip)
         placed = self._strip(points)
-        self.e2 = self._edges(placed.select("g", "_s", F.get("v", F.lit(1)).alias("a")), ["g", "_s"], self.subs)
+        second = placed.select("g", "_s", "id", F.get("v", F.lit(1)).alias("a"))
+        self.e2 = self._edges(second, ["g", "_s"], tile) if self.dim > 1 else None
         self.points = materialize(self.place(points))
-        ends = [f(F.get("v", F.lit(i))).alias(f"{n}{i}") for i in range(self.dim) for n, f in (("lo", F.min), ("hi", F.max))]
-        boxes = self.points.groupBy("g", "tile").agg(F.count(F.lit(1)).alias("n"), *ends)
-        if boxes.count() > MAX_BOXES:
-            raise ValueError("too many tiles for the driver; raise the tile size")
-        pdf = boxes.orderBy("g", "tile").toPandas()
-        lo, hi = [f"lo{i}" for i in range(self.dim)], [f"hi{i}" for i in range(self.dim)]
-        self.boxes = {}
-        for g, part in pdf.groupby("g"):
-            t = part["tile"].to_numpy()
-            strips = []
-            for s in np.unique(t // _SUB):
-                at = t // _SUB == s
-                b = (t[at], part[lo].to_numpy()[at], part[hi].to_numpy()[at], part["n"].to_numpy()[at])
-                strips.append((b[1].min(axis=0), b[2].max(axis=0), b))
-            self.boxes[g] = strips
+        ends = [F.array(*[f(F.get("v", F.lit(i))) for i in range(self.dim)]).alias(n) for n, f in (("lo", F.min), ("hi", F.max))]
+        boxes = materialize(self.points.groupBy("g", "tile").agg(F.count(F.lit(1)).alias("n"), *ends))
+        boxes = boxes.withColumn("_s", F.floor(F.col("tile") / _SUB))
+        # a strip of two or more axes has about as many tiles as there are strips, a strip of one axis has one
+        self.boxes = materialize(boxes.groupBy("g", "_s").agg(F.collect_list(F.struct("tile", "n", "lo", "hi")).alias("tiles")))
+        self.counts = None
+        if self.dim == 1:  # points up to every strip; only the first strip can be empty
+            upto = F.sum("n").over(Window.partitionBy("g").orderBy("_s"))
+            listed = boxes.select("g", "_s", upto.alias("u")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("_s", "u"))).alias("c"))
+            from_zero = F.when(F.get("c", F.lit(0))["_s"] == 0, F.col("c.u")).otherwise(F.array_prepend("c.u", F.lit(0).cast("bigint")))
+            self.counts = materialize(listed.select("g", from_zero.alias("_c")))
 
     @staticmethod
-    def _edges(values: DataFrame, keys: list[str], parts: int) -> DataFrame | None:
-        if parts < 2:
-            return None
-        return materialize(exact_quantiles(values, keys, "a", [i / parts for i in range(1, parts)], out="_e"))
+    def _edges(values: DataFrame, keys: list[str], size: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id", F.lit(len(keys))), F.lit(max(1, size // _OVER))) == 0
+        listed = values.filter(part).groupBy(*keys).agg(F.sort_array(F.collect_list("a")).alias("_e"))
+        return materialize(listed.withColumn("_e", F.array_distinct(F.filter("_e", lambda _, i: i % _OVER == _OVER - 1))))
 
     def _strip(self, df: DataFrame) -> DataFrame:
-        if self.e1 is None:
-            return df.withColumn("_s", F.lit(0))
-        return df.join(self.e1, "g", "left").withColumn("_s", F.coalesce(count_at_most(F.col("_e"), F.get("v", F.lit(0))), F.lit(0))).drop("_e")
+        at = F.coalesce(count_at_most(F.col("_e"), F.get("v", F.lit(0))), F.lit(0)).cast("bigint")
+        return df.join(self.e1, "g", "left").withColumn("_s", at).drop("_e")
 
     def place(self, df: DataFrame) -> DataFrame:
         df = self._strip(df)
@@ -104,47 +99,49 @@ class Tiles:
         return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(fn, schema)
 
     def _touched(self, queries: DataFrame, whole: bool) -> DataFrame:
-        """(query, tile) for tiles its ball touches; with ``whole``, tiles inside it only add their size."""
-        sent = queries.sparkSession.sparkContext.broadcast(self.boxes)
-        dtypes = dict(queries.dtypes)
-
-        def expand(batches):
-            for pdf in batches:
-                outs = []
-                for g, part in pdf.groupby("g"):
-                    v, r = np.stack(part["v"].to_numpy()), part["r"].to_numpy()
-                    full = np.zeros(len(part), dtype=np.int64)
-                    hits_q, hits_t = [], []
-                    for slo, shi, (t, lo, hi, n) in sent.value.get(g, []):
-                        gap = np.maximum(np.maximum(slo - v, v - shi).max(axis=1), 0)
-                        near = np.flatnonzero(gap <= r)
-                        if not len(near):
-                            continue
-                        a = v[near][:, None, :]
-                        gap = np.maximum(np.maximum(lo - a, a - hi).max(axis=2), 0)
-                        hit = gap <= r[near][:, None]
-                        if whole:
-                            inside = np.maximum(hi - a, a - lo).max(axis=2) <= r[near][:, None]
-                            full[near] += (inside * n).sum(axis=1)
-                            hit &= ~inside
-                        i, j = np.nonzero(hit)
-                        hits_q.append(near[i])
-                        hits_t.append(t[j])
-                    if whole:
-                        outs.append(part.assign(to=-1, full=full))
-                    if hits_q:
-                        sel = part.iloc[np.concatenate(hits_q)]
-                        outs.append(sel.assign(to=np.concatenate(hits_t), full=0))
-                if outs:
-                    yield pd.concat(outs)[["g", "id", "tile", "v", "r", "to", "full"]]
-
-        schema = f"g {dtypes['g']}, id {dtypes['id']}, tile int, v array<double>, r double, to int, full bigint"
-        return queries.mapInPandas(expand, schema)
+        """(query, to) for tiles its ball touches; with ``whole``, tiles inside it only add their size in rows with to = -1.
+
+        Edges tell the strips (a little more than the ball, as sums are rounded); boxes of a strip tell its tiles.
+        """
+        first_axis, r = F.get("v", F.lit(0)), F.col("r")
+        slack = (F.abs(first_axis) + r) * 1e-14
+        strip = lambda x: F.coalesce(count_at_most(F.col("_e"), x), F.lit(0)).cast("bigint")
+        q = queries.select("g", "id", "tile", "v", "r").join(self.e1, "g", "left")
+        q = q.withColumns({"_a": strip(first_axis - r - slack), "_b": strip(first_axis + r + slack)})
+        strips, columns = F.sequence("_a", "_b"), ["g", "id", "tile", "v", "r"]
+        counted = None
+        if whole and self.dim == 1:
+            # strips between these two lie inside the ball
+            q = q.withColumns({"_in": strip(first_axis - r + slack), "_out": strip(first_axis + r - slack)})
+            between = F.col("_out") > F.col("_in") + 1
+            n = F.get("_c", (F.col("_out") - 1).cast("int")) - F.get("_c", F.col("_in").cast("int"))
+            counted = q.filter(between).join(self.counts, "g").select(*columns, F.lit(-1).cast("bigint").alias("to"), n.alias("full"))
+            strips = F.when(between, F.concat(F.sequence("_a", "_in"), F.sequence("_out", "_b"))).otherwise(strips)
+        met = q.select(*columns, F.explode(strips).alias("_s")).join(self.boxes, ["g", "_s"])
+
+        def reach(box, far):
+            """Largest distance over the axes: to the far side of the box, or to the near one."""
+            sides = []
+            for i in range(self.dim):
+                lo, hi, x = F.get(box["lo"], F.lit(i)), F.get(box["hi"], F.lit(i)), F.get("v", F.lit(i))
+                sides += [hi - x, x - lo] if far else [lo - x, x - hi]
+            return F.greatest(*sides)
+
+        touched = F.filter("tiles", lambda t: reach(t, False) <= r)
+        if not whole:
+            return met.select(*columns, F.explode(F.transform(touched, lambda t: t["tile"])).alias("to"))
+        met = met.withColumn("tiles", touched)
+        inside = lambda t: reach(t, True) <= r
+        n = F.aggregate("tiles", F.lit(0).cast("bigint"), lambda acc, t: acc + F.when(inside(t), t["n"]).otherwise(0))
+        edge = F.transform(F.filter("tiles", lambda t: ~inside(t)), lambda t: F.struct(t["tile"].alias("to"), F.lit(0).cast("bigint").alias("full")))
+        rows = F.array_append(edge, F.struct(F.lit(-1).cast("bigint").alias("to"), n.alias("full")))
+        out = met.select(*columns, F.explode(rows).alias("_t")).select(*columns, "_t.to", "_t.full")
+        return out if counted is None else out.unionByName(counted)
 
     def kth_distance(self, queries: DataFrame, k: int) -> DataFrame:
         """``(g, id, v, r)``: distance to the k-th nearest point (a query's own point counts)."""
         dtypes = dict(queries.dtypes)
-        schema = f"g {dtypes['g']}, id {dtypes['id']}, tile int, v array<double>, near array<double>"
+        schema = f"g {dtypes['g']}, id {dtypes['id']}, tile bigint, v array<double>, near array<double>"
 
         def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             if not len(q):
@@ -179,7 +176,7 @@ class Tiles:
             ])
             return q[["g", "id"]].assign(n=n)
 
-        touched = materialize(self._touched(queries.withColumn("tile", F.lit(0)).select("g", "id", "tile", "v", "r"), True))
+        touched = materialize(self._touched(queries.withColumn("tile", F.lit(0).cast("bigint")), True))
         inside = touched.filter("to = -1").select("g", "id", F.col("full").alias("n"))
         edge = self._meet(touched.filter("to >= 0").select("g", "id", F.col("to").alias("tile"), "v", "r"), count, schema)
         return inside.unionByName(edge).groupBy("g", "id").agg(F.sum("n").alias("n"))

@@ -28,3 +28,15 @@ def test_whole_number_digamma(spark):
     for r in df.select("n", neighbors.digamma_int(df["n"]).alias("p")).collect():
         exact = -0.5772156649015329 + sum(1.0 / i for i in range(1, r["n"]))
         assert abs(r["p"] - exact) < 1e-10
+
+
+def test_more_tiles_than_a_thousand(spark):
+    """One axis, 20,000 points in tiles of 8; a ball that spans most of them is counted from sums."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=20_000), 3)
+    pts = spark.createDataFrame([("x", i, [float(a)]) for i, a in enumerate(v)], "g string, id bigint, v array<double>").repartition(8).cache()
+    tiles = neighbors.Tiles(pts, 8)
+    assert tiles.points.select("tile").distinct().count() > 1024
+    asked = pts.filter("id % 50 = 0").withColumn("r", (pts["id"] % 7) * 0.25)
+    got = {r["id"]: r["n"] for r in tiles.count_within(asked).collect()}
+    assert got == {i: int((np.abs(v - v[i]) <= (i % 7) * 0.25).sum()) for i in range(0, 20_000, 50)}
