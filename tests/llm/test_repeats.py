@@ -286,3 +286,28 @@ def test_chain_prefers_collinear_fragments():
 
 def test_long_texts_compare_whole():
     assert len(LONG.split()) == 30_000 and changed(LONG, 100) != LONG
+
+
+def test_recall_of_changed_passages(spark):
+    """Plants of random words with replaced words; the first and last word stay, as a passage ends in matches."""
+    rng = np.random.default_rng(11)
+    rows, cells = [], {}
+    fresh = lambda n: [f"w{v}" for v in rng.integers(0, 10**9, n)]
+    for n in (50, 100, 200):
+        for identity in (0.8, 0.85, 0.9):
+            for even in (False, True):
+                for _ in range(12):
+                    base, m = fresh(n), int(n * (1 - identity) + 1e-9)
+                    at = [round((k + 1) * n / (m + 1) - 0.5) for k in range(m)] if even else rng.choice(np.arange(1, n - 1), m, replace=False)
+                    other = list(base)
+                    for k, w in zip(at, fresh(m)):
+                        other[k] = w
+                    rows += [(len(rows) + i, " ".join(fresh(40) + piece + fresh(40))) for i, piece in enumerate((base, other))]
+                    cells.setdefault((n, identity, even), []).append(len(rows) - 1)
+    got = {r.doc_id: r.source_id for r in chaining.fuzzy_passages(table(spark, rows)).collect()}
+    assert all(src == doc - 1 for doc, src in got.items())
+    recall = {cell: sum(d in got for d in docs) / len(docs) for cell, docs in cells.items()}
+    print(recall)
+    assert all(v >= 0.9 for (n, identity, _), v in recall.items() if n >= 100 and identity >= 0.85)
+    assert np.mean(list(recall.values())) >= 0.9
+    assert min(recall.values()) >= 0.5
