@@ -78,3 +78,19 @@ def test_time_dependent_concordance(spark):
                 c += cv[at(t)] < cv2[at(t)]
                 s += cv[at(t)] == cv2[at(t)]
     assert tuple(concordance_td(df, "e", "t", "curve", grid).first())[:3] == (c, s, n)
+
+
+def test_input_is_read_once_whatever_the_ranges(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(g, e, t, r if i % 7 else None) for i, (g, e, t, r) in enumerate(sample())]
+    df = spark.createDataFrame(rows, "g string, e int, t double, r double").mapInArrow(see, "g string, e int, t double, r double")
+    got = sorted(tuple(r)[:5] for r in concordance_index(df, "e", "t", "r", ["g"], 5).collect())
+    known = lambda g: [r for r in rows if r[0] == g and r[3] is not None]
+    assert got == [(g, *brute(known(g)), sum(r[0] == g and r[3] is None for r in rows)) for g in "ab"]
+    assert seen.value == len(rows)
