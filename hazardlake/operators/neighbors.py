@@ -24,6 +24,53 @@ TILE = 4096
 NOISE = 1e-10  # breaks ties, as is usual for these estimators
 _SUB = 1 << 31  # most tiles of one strip
 _OVER = 4  # candidates per edge
+_BLOCK = 64  # queries, neighbours on the first axis, that are compared with one slab of points
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-norm distances, axis by axis."""
+    out = np.abs(a[:, 0, None] - b[None, :, 0])
+    for i in range(1, a.shape[1]):
+        np.maximum(out, np.abs(a[:, i, None] - b[None, :, i]), out=out)
+    return out
+
+
+def _slab(first: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[int, int]:
+    """Range of points, sorted by first axis, that can lie within r of any of the queries; a little wider, as sums are rounded."""
+    x = q[:, 0]
+    slack = (np.abs(x) + np.abs(r)) * 1e-14
+    return int(np.searchsorted(first, (x - r - slack).min())), int(np.searchsorted(first, (x + r + slack).max(), "right"))
+
+
+def nearest_distances(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Per row of ``a`` the ascending distances to its k nearest rows of ``b`` (to all if there are fewer).
+
+    Points near a block of queries on the first axis bound its radii; only the slab within these is searched.
+    """
+    order, b = np.argsort(a[:, 0], kind="stable"), b[np.argsort(b[:, 0], kind="stable")]
+    take = min(k, len(b))
+    out, first = np.empty((len(a), take)), b[:, 0].copy()
+    for s in range(0, len(a), _BLOCK):
+        q = a[order[s : s + _BLOCK]]
+        lo = max(0, int(np.searchsorted(first, q[0, 0])) - 4 * take)
+        hi = min(len(b), int(np.searchsorted(first, q[-1, 0], "right")) + 4 * take)
+        d = _distances(q, b[lo:hi])
+        low, high = _slab(first, q, np.partition(d, take - 1, axis=1)[:, take - 1])
+        if low < lo or high > hi:
+            d = _distances(q, b[min(low, lo) : max(high, hi)])
+        out[order[s : s + _BLOCK]] = np.sort(np.partition(d, take - 1, axis=1)[:, :take], axis=1)
+    return out
+
+
+def counts_within(a: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per row of ``a`` how many rows of ``b`` lie within its radius."""
+    order, b = np.argsort(a[:, 0], kind="stable"), b[np.argsort(b[:, 0], kind="stable")]
+    out, first = np.empty(len(a), dtype=np.int64), b[:, 0].copy()
+    for s in range(0, len(a), _BLOCK):
+        at = order[s : s + _BLOCK]
+        low, high = _slab(first, a[at], r[at])
+        out[at] = (_distances(a[at], b[low:high]) <= r[at, None]).sum(axis=1)
+    return out
 
 
 def jitter(value: Column, id_col: str, axis: int) -> Column:
@@ -148,11 +195,7 @@ class Tiles:
                 return pd.DataFrame({"g": [], "id": [], "tile": [], "v": [], "near": []})
             near = [np.zeros(0)] * len(q)
             if len(p):
-                a, b = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy())
-                take = min(k, len(b))
-                for s in range(0, len(a), 512):
-                    d = np.abs(a[s : s + 512, None, :] - b[None]).max(axis=2)
-                    near[s : s + 512] = list(np.sort(np.partition(d, take - 1, axis=1)[:, :take], axis=1))
+                near = list(nearest_distances(np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy()), k))
             return q[["g", "id", "tile", "v"]].assign(near=near)
 
         home = materialize(self._meet(self.place(queries), nearest, schema))
@@ -170,11 +213,7 @@ class Tiles:
         def count(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(p):
                 return pd.DataFrame({"g": [], "id": [], "n": []})
-            a, b, r = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy()), q["r"].to_numpy()
-            n = np.concatenate([
-                (np.abs(a[s : s + 512, None, :] - b[None]).max(axis=2) <= r[s : s + 512, None]).sum(axis=1) for s in range(0, len(a), 512)
-            ])
-            return q[["g", "id"]].assign(n=n)
+            return q[["g", "id"]].assign(n=counts_within(np.stack(q["v"].to_numpy()), q["r"].to_numpy(), np.stack(p["v"].to_numpy())))
 
         touched = materialize(self._touched(queries.withColumn("tile", F.lit(0).cast("bigint")), True))
         inside = touched.filter("to = -1").select("g", "id", F.col("full").alias("n"))

@@ -40,3 +40,19 @@ def test_more_tiles_than_a_thousand(spark):
     asked = pts.filter("id % 50 = 0").withColumn("r", (pts["id"] % 7) * 0.25)
     got = {r["id"]: r["n"] for r in tiles.count_within(asked).collect()}
     assert got == {i: int((np.abs(v - v[i]) <= (i % 7) * 0.25).sum()) for i in range(0, 20_000, 50)}
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_slabs_hold_all_that_is_near(dim, monkeypatch):
+    rnd = np.random.default_rng(dim)
+    b = np.concatenate([rnd.normal(size=(700, dim)), np.zeros((30, dim)), [[50.0] * dim]])
+    a = np.concatenate([b[::3], rnd.normal(size=(90, dim)) * 4])
+    d = np.abs(a[:, None] - b[None]).max(axis=2)
+    compared, plain = [], neighbors._distances
+    monkeypatch.setattr(neighbors, "_distances", lambda x, y: (compared.append(len(x) * len(y)), plain(x, y))[1])
+    assert np.array_equal(neighbors.nearest_distances(a, b, 5), np.sort(d, axis=1)[:, :5])
+    assert np.array_equal(neighbors.nearest_distances(a, b[:3], 5), np.sort(d[:, :3], axis=1))
+    r = np.sort(d, axis=1)[:, 4]
+    compared.clear()
+    assert np.array_equal(neighbors.counts_within(a, r, b), (d <= r[:, None]).sum(axis=1))
+    assert sum(compared) < d.size  # not every pair
