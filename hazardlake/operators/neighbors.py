@@ -36,8 +36,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _slab(first: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[int, int]:
-    """Range of points, sorted by first axis, that can lie within r of any of the queries; a little wider, as sums are rounded."""
+    """Range of points, sorted by first axis, that can lie within r of any of the queries; a little wider, as sums are rounded.
+
+    All points where a query or radius is not a number.
+    """
     x = q[:, 0]
+    if np.isnan(x).any() or np.isnan(r).any():
+        return 0, len(first)
     slack = (np.abs(x) + np.abs(r)) * 1e-14
     return int(np.searchsorted(first, (x - r - slack).min())), int(np.searchsorted(first, (x + r + slack).max(), "right"))
 

@@ -56,3 +56,16 @@ def test_slabs_hold_all_that_is_near(dim, monkeypatch):
     compared.clear()
     assert np.array_equal(neighbors.counts_within(a, r, b), (d <= r[:, None]).sum(axis=1))
     assert sum(compared) < d.size  # not every pair
+
+
+def test_slabs_with_missing_values():
+    rnd = np.random.default_rng(9)
+    b = rnd.normal(size=(400, 2))
+    b[::9, 0], b[::11, 1] = np.nan, np.nan
+    a = b[::2]
+    d = np.abs(a[:, None] - b[None]).max(axis=2)
+    assert np.array_equal(neighbors.nearest_distances(a, b, 4), np.sort(d, axis=1)[:, :4], equal_nan=True)
+    few = b[[0, 9, 1]]  # fewer whole points than asked for
+    assert np.array_equal(neighbors.nearest_distances(a, few, 3), np.sort(np.abs(a[:, None] - few[None]).max(axis=2), axis=1), equal_nan=True)
+    r = np.sort(d, axis=1)[:, 3]
+    assert np.array_equal(neighbors.counts_within(a, r, b), (d <= r[:, None]).sum(axis=1))
