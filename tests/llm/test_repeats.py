@@ -241,6 +241,30 @@ def test_partners_beyond_first_and_previous(spark):
     assert (got[0].start, got[0].n_words) == (60, 68)
 
 
+def test_every_two_variants_of_a_passage_are_linked(spark):
+    """Six versions of a passage, each with other words changed, and copies of one of them."""
+    rows, base = [], words(120, 500)
+    for i in range(6):
+        piece = list(base)
+        for at in (20 + 3 * i, 60 + 3 * i, 100 + 3 * i):
+            piece[at] = f"only{i}at{at}"
+        rows.append((i, f"{' '.join(words(40, 510 + i))} {' '.join(piece)} {' '.join(words(40, 520 + i))}"))
+    middle = rows[2][1].split()[40:160]
+    rows += [(6 + i, f"{' '.join(words(40, 530 + i))} {' '.join(middle)} {' '.join(words(40, 540 + i))}") for i in range(4)]
+    got = chaining.fuzzy_passages(table(spark, rows)).collect()
+    assert {(i, j) for i in range(6) for j in range(i)} <= {(r.doc_id, r.source_id) for r in got}
+    copies = {r.doc_id for r in got if r.identity == 1.0 and r.source_id in (2, 6, 7, 8)}
+    assert copies == {6, 7, 8, 9}
+
+
+def test_windows_across_two_copies_stay_open():
+    here, whole = np.arange(0, 97), np.array([[0, 60], [40, 100]])
+    free = np.nonzero(chaining.open_places(here, whole, 50, 5))[0]
+    assert (free[0], free[-1]) == (16, 80)  # windows from 16 to 34
+    assert not chaining.open_places(here[:57], whole, 50, 5).any()
+    assert chaining.open_places(here, np.zeros((0, 2), np.int64), 50, 5).all()
+
+
 def test_places_of_seeds_that_a_partner_repeats_often(spark):
     """An entry of a templated text is quoted; each of its parts stands in many entries, together only in one."""
     lines = [" ".join(words(8, 80 + k)) for k in range(5)]
