@@ -109,6 +109,17 @@ def test_split_anchors_in_one_process():
     assert [(i, n) for i, n in found[0].items()] == [(i, n) for i, _, n, _, _ in brute_bytes([(i, t.decode()) for i, t in texts.items()])]
 
 
+def test_ranges_hold_equal_shares_of_the_anchors():
+    """Anchors have the smallest hashes of their windows; no range may hold most of them."""
+    raw = np.frombuffer(" ".join(words(20_000, 3)).encode(), np.uint8)
+    off = np.array([0, len(raw)])
+    sent = {}
+    for b in suffix.messages(np.array([1]), np.array([0]), [(0, *suffix.anchors(raw, off, 50, 24))], 5):
+        for r, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            sent[r] = sent.get(r, 0) + len(m)
+    assert len(sent) == 32 and max(sent.values()) < 1.5 * sum(sent.values()) / 32
+
+
 def test_longest_previous_factor():
     texts = [b"abcabcabcX", b"abcabcabcY", b"bcabcabcX"]
     seg, off, factor = suffix.previous_factors(np.zeros(3, np.uint64), np.array([1, 2, 3]), texts, np.array([1, 1, 1]), 3)
