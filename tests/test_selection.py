@@ -3,7 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from hazardlake.operators import information, preprocess, stability
+from hazardlake.operators import information, preprocess, schema, stability
 
 
 def packed(spark, columns, y):
@@ -110,3 +110,39 @@ def test_screen_narrows_each_bootstrap(spark):
         picks = stability.supervised_screen(base, ["a", "b", "c"], base.select("row_id", "y"), method, 2, 4, 2, seed=4, screen=screen)
         assert seen == [60, 60]
         assert {p["feature"] for p in picks if p["run"] == 0} <= {"a"} and {p["feature"] for p in picks if p["run"] == 1} <= {"b", "c"}
+
+
+def test_bins_keep_to_their_feature_where_another_has_no_edges(spark):
+    base = spark.createDataFrame([(i, None, float(i), float(-i)) for i in range(8)], "row_id int, a double, b double, c double")
+    feats = ["a", "b", "c"]
+    edges = preprocess.fit_bins(schema.melt(base, feats, ["row_id"]), 4)
+    packed = information.pack_bins(schema.as_vector(base, feats, ["row_id"]), edges, feats, n_bins=4)
+    got = {r["row_id"]: list(r["bins"]) for r in packed.collect()}
+    assert got == {i: [None, i // 2, 3 - i // 2] for i in range(8)}
+
+
+def test_bins_by_run_with_missing_values(spark):
+    edges = spark.createDataFrame([(1, "a", [0.0, 2.0]), (2, "a", [1.0]), (2, "b", [5.0])], "run int, feature string, edges array<double>")
+    nan = float("nan")
+    rows = [(1, [v, v]) for v in (-1.0, -0.0, 2.0, None, nan)] + [(2, [v, v]) for v in (0.5, 5.0)] + [(3, [1.0, 1.0]), (None, [1.0, 1.0])]
+    vec = spark.createDataFrame(rows, "run int, x array<double>")
+    got = [(r["run"], r["bins"]) for r in information.pack_bins(vec, edges, ["a", "b"], ["run"], 2, 3).collect()]
+    want = [(1, [0, 0]), (1, [1, 0]), (1, [2, 0]), (1, [None, None]), (1, [2, 0]), (2, [0, 0]), (2, [1, 1])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_bootstrap_weights_are_made_once(spark, monkeypatch):
+    base = spark.createDataFrame([(i, float(i), float(i % 5), i % 2) for i in range(40)], "row_id int, a double, b double, y int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df, id_col, n_runs, seed=0):
+        def touch(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f.assign(run=0, w=1)[["run", "row_id", "w"]]
+
+        return df.select("row_id").mapInPandas(touch, "run int, row_id int, w long")
+
+    monkeypatch.setattr(stability, "bootstrap_weights", counted)
+    picks = stability.supervised_screen(base, ["a", "b"], base.select("row_id", "y"), "MIM", 1, 4, 1)
+    assert len(picks) == 1 and seen.value == 40
