@@ -127,3 +127,21 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["feature", "mi", "rank"]
+
+
+def test_source_is_derived_once_for_all_groups(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def noted(batches):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    rows = [(i, i, "ab"[i % 2], i % 3 > 0, 1.0 + i % 11, float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id int, subject_id int, type string, os boolean, os_time double, f_exp double")
+    df = df.selectExpr("row_id", "subject_id", "type", "CAST(os AS INT) AS os", "os_time", "f_exp").repartition(2)
+    o = experiment.Options({"EXPRESSION": "_exp"}, [["EXPRESSION"]], types=[["a"], ["b"]], seeds=[1], selection="none", grids={"CPH-L2": {"alpha": [1.0]}})
+    out = run_experiment(df.mapInArrow(noted, df.schema), o)
+    assert {r["types"] for r in out["performance"].collect()} == {"a", "b"}
+    assert len(list(tmp_path.iterdir())) <= 2
