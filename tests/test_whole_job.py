@@ -46,3 +46,12 @@ def test_performance_covers_every_split(spark, monkeypatch):
     monkeypatch.setattr(X, "predictions", lambda *_: rows)
     got = {r["split"]: (r["GOOD"], r["WEAK"], r["ANTI"]) for r in queries.QUERIES["write_performance"](spark, None).collect()}
     assert got == {"train": (1.0, 1.0, None), "val": (0.0, 0.0, None), "test": (0.0, 0.0, None)}
+
+
+def test_importance_takes_every_shuffle(spark, monkeypatch):
+    rows = spark.range(30).select(F.col("id").alias("row_id"), F.lit(1).alias("os"), (1.0 + F.col("id")).alias("os_time"), (1.0 * F.col("id")).alias("totalprice_exp"), (2.0 * F.col("id")).alias("acctbal_clin"))
+    monkeypatch.setattr(X, "surv", lambda *_: rows)
+    arguments(monkeypatch, importance, "permuted_columns")
+    n = default(importance.permutation_importance, "n_iter")
+    assert called("permutation_importance", spark, None)["n_iter"] == n == 15
+    assert f"range(0,{n})" in queries.SQL["permutation_importance"]
