@@ -55,3 +55,13 @@ def test_importance_takes_every_shuffle(spark, monkeypatch):
     n = default(importance.permutation_importance, "n_iter")
     assert called("permutation_importance", spark, None)["n_iter"] == n == 15
     assert f"range(0,{n})" in queries.SQL["permutation_importance"]
+
+
+def test_permutation_test_takes_every_permutation(spark, monkeypatch):
+    bins = spark.range(30).select(F.col("id").alias("row_id"), F.lit("qty_exp").alias("feature"), (F.col("id") % 3).cast("int").alias("bin"))
+    y = spark.range(30).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("y"))
+    monkeypatch.setattr(screening, "binned_train", lambda *_: (bins, y, None))
+    n = default(information.permuted_pairs, "n_perm")
+    arguments(monkeypatch, information, "permuted_pairs")
+    assert called("permutation_test_mi", spark, None)["n_perm"] == n == 200
+    assert f"range(0,{n})" in queries.SQL["permutation_test_mi"]
