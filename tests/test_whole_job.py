@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import queries, screening
 from checks import flow, models, outcomes  # noqa: F401
 from hazardlake import fixtures as X
-from hazardlake.operators import importance, information
+from hazardlake.operators import forest, importance, information, treeboost
 
 
 class Seen(Exception):
@@ -65,3 +65,21 @@ def test_permutation_test_takes_every_permutation(spark, monkeypatch):
     arguments(monkeypatch, information, "permuted_pairs")
     assert called("permutation_test_mi", spark, None)["n_perm"] == n == 200
     assert f"range(0,{n})" in queries.SQL["permutation_test_mi"]
+
+
+def survival_rows(spark):
+    """Rows that the models take, with a split of their own."""
+    cols = dict(zip(["acctbal_clin", "totalprice_exp", "qty_exp", "disc_mut", "nlines_exp", "nret_mut"], (7, 11, 13, 17, 5, 3)))
+    return spark.range(120).select(
+        F.col("id").alias("row_id"), F.lit("train").alias("split"), F.lit("T").alias("type"), (F.col("id") % 2).cast("int").alias("os"), (1.0 + F.col("id") % 29).alias("os_time"),
+        *[(1.0 * (F.col("id") * k % 31)).alias(c) for c, k in cols.items()],
+    )
+
+
+def test_boosting_takes_every_round(spark, monkeypatch):
+    monkeypatch.setattr(models, "train_part", lambda *_: survival_rows(spark))
+    arguments(monkeypatch, treeboost, "fit_families")
+    seen = called("gb_cox_trees", spark, None)
+    fit = treeboost.fit_tree_boost
+    assert (seen["rounds"], seen["n_bins"], seen["families"][0].depth) == tuple(default(fit, k) for k in ("n_estimators", "n_bins", "max_depth")) == (100, 64, 3)
+    assert "k < 100" in queries.SQL["gb_cox_trees"]
