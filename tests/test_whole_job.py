@@ -83,3 +83,11 @@ def test_boosting_takes_every_round(spark, monkeypatch):
     fit = treeboost.fit_tree_boost
     assert (seen["rounds"], seen["n_bins"], seen["families"][0].depth) == tuple(default(fit, k) for k in ("n_estimators", "n_bins", "max_depth")) == (100, 64, 3)
     assert "k < 100" in queries.SQL["gb_cox_trees"]
+
+
+def test_forest_grows_every_tree_to_its_leaves(spark, monkeypatch):
+    monkeypatch.setattr(models, "train_part", lambda *_: survival_rows(spark))
+    arguments(monkeypatch, forest, "fit_forests")
+    seen = called("random_survival_forest", spark, None)
+    assert (seen["n_estimators"], seen["max_depth"]) == tuple(default(forest.fit_forest, k) for k in ("n_estimators", "max_depth")) == (100, None)
+    assert "range(0, 100)" in queries.SQL["random_survival_forest"] and "depth <" not in queries.SQL["random_survival_forest"]
